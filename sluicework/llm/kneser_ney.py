@@ -29,6 +29,8 @@ START, BEYOND = 0x0002, 0xFFFD
 #: Model rows that workers may load. A larger model is joined shard by shard instead.
 LOCAL_ROWS = 4_000_000
 _COMPACT = 4_000_000
+#: One in this many trusted documents is kept out of the model and sets the thresholds.
+CALIBRATION = 5
 
 
 def _codes(text: str) -> np.ndarray:
@@ -276,14 +278,16 @@ def _sharded(docs: DataFrame, model: DataFrame, text: str) -> DataFrame:
 def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, least_trusted: int = 50, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Perplexity and decision for every row of ``docs`` (doc_id, text, lang).
 
-    ``trusted`` (doc_id, text) trains the model. A row is kept if its perplexity
-    is at most the ``quantile`` of the trusted documents of its language; languages with fewer than
+    ``trusted`` (doc_id, text) trains the model, but for the one in CALIBRATION of them, by
+    the hash of the id, that sets the thresholds. A row is kept if its perplexity is at most the
+    ``quantile`` of those documents of its language; languages with fewer than
     ``least_trusted`` of them, and null languages, take the quantile over all. Returns
     (doc_id, lang, n_symbols, perplexity, threshold, keep); a null or empty text has no
     perplexity and is not kept; without trusted texts nothing is.
     """
-    model = train(trusted)
-    ids = trusted.select("doc_id").distinct().withColumn("_trusted", F.lit(True))
+    aside = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0
+    model = train(trusted.filter(~aside))
+    ids = trusted.filter(aside).select("doc_id").distinct()
     scored = with_log_likelihood(docs.select("doc_id", "text", "lang"), model, local_rows=local_rows).select(
         "doc_id", "lang", "n_symbols", F.when((F.col("n_symbols") > 0) & (F.col("loglik") < 0), F.exp(-F.col("loglik") / F.col("n_symbols"))).alias("perplexity")
     )

@@ -175,7 +175,7 @@ def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out()
 
 
-def train(labelled: DataFrame, max_rows: int = 30_000, max_patterns: int = 5_000, min_gain: float = 30.0, min_weight: float = 2.5) -> Grammar:
+def train(labelled: DataFrame, max_rows: int = 30_000, max_patterns: int = 5_000, min_gain: float = 22.0, min_weight: float = 2.5) -> Grammar:
     """Learn from ``labelled`` (doc_id, text, toxic 0/1); rows with a null text or label teach nothing.
 
     A sample of about ``max_rows`` rows by the hash of the id, or all rows if fewer, bounds
