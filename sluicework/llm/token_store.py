@@ -1,6 +1,6 @@
 """Token-id shards with a minimal perfect hash index.
 
-A shard is one file: raw ids (little-endian unsigned 32-bit) of documents in ascending key
+A shard is one file: raw little-endian unsigned ids of documents in ascending key
 order, behind them the index. The index gives every key of the shard its own slot by a cascade
 of bit levels: a key sits in the first level where its hash meets no other key, its slot is the
 number of bits set before it. A slot stores a 32-bit fingerprint of its key, the document's
@@ -8,12 +8,12 @@ first id and its number of ids, so a lookup reads a constant number of places an
 is refused.
 
 File layout, all integers little-endian:
-    ids                      n_ids x uint32
+    ids                      n_ids x uint16 if all ids of the shard fit, else uint32
     keys in document order   n_docs x int64
     ids in each document     n_docs x int64
     slot table               n_slots x (uint32 fingerprint, uint32 unused, int64 start, int64 count)
     level bits               for each level: uint64 bit count, packed bits
-    footer                   9 x int64: magic, version, n_ids, n_docs, n_slots, n_levels, n_loose, n_nulls, bytes of levels
+    footer                   10 x int64: magic, version, bytes of an id, n_ids, n_docs, n_slots, n_levels, n_loose, n_nulls, bytes of levels
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from pyspark.sql.window import Window
 from ._shared import binary_texts, delete_path, materialize, scratch_path
 from .token_ids import ID_BYTES, encoded_groups
 
-MAGIC, VERSION, FOOTER = 0x5357494458, 1, 9
+MAGIC, VERSION, FOOTER = 0x5357494458, 1, 10
 LOAD, MAX_LEVELS = 2.0, 24
-#: Ids in a shard, about: 64 MiB of payload.
-SHARD_IDS = 16 * 1024 * 1024
+#: Ids in a shard, about.
+SHARD_IDS = 8 * 1024 * 1024
 _SLOT = np.dtype([("fingerprint", "<u4"), ("unused", "<u4"), ("start", "<i8"), ("count", "<i8")])
 
 
@@ -107,8 +107,10 @@ def shard_bytes(keys: list[int | None], ids: list[bytes]) -> bytes:
     at = function.slots(distinct)
     table["fingerprint"][at], table["start"][at], table["count"][at] = fingerprints(distinct), starts[nulls:][first], counts[nulls:][first]
     levels = b"".join(np.array([len(x)], "<u8").tobytes() + np.packbits(x).tobytes() for x in function.levels) + function.loose.astype("<i8").tobytes()
-    footer = np.array([MAGIC, VERSION, int(counts.sum()), len(ids), function.size, len(function.levels), len(function.loose), nulls, len(levels)], "<i8")
-    return b"".join([*ids, numbers.tobytes(), counts.astype("<i8").tobytes(), table.tobytes(), levels, footer.tobytes()])
+    payload = np.frombuffer(b"".join(ids), "<u4")
+    width = 2 if payload.max(initial=0) < 1 << 16 else ID_BYTES
+    footer = np.array([MAGIC, VERSION, width, int(counts.sum()), len(ids), function.size, len(function.levels), len(function.loose), nulls, len(levels)], "<i8")
+    return b"".join([payload.astype(f"<u{width}").tobytes(), numbers.tobytes(), counts.astype("<i8").tobytes(), table.tobytes(), levels, footer.tobytes()])
 
 
 class Shard:
@@ -116,10 +118,10 @@ class Shard:
 
     def __init__(self, raw: bytes):
         footer = np.frombuffer(raw, "<i8", FOOTER, len(raw) - 8 * FOOTER) if len(raw) >= 8 * FOOTER else np.zeros(FOOTER, np.int64)
-        magic, version, n_ids, n_docs, n_slots, n_levels, n_loose, nulls, n_bytes = footer.tolist()
+        magic, version, self.width, n_ids, n_docs, n_slots, n_levels, n_loose, nulls, n_bytes = footer.tolist()
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token-id shard")
-        at = n_ids * ID_BYTES
+        at = n_ids * self.width
         self._raw, self.nulls = raw, nulls
         self.keys = np.frombuffer(raw, "<i8", n_docs, at)
         self.counts = np.frombuffer(raw, "<i8", n_docs, at := at + 8 * n_docs)
@@ -142,7 +144,8 @@ class Shard:
         return np.where(ok, self.table["start"][slots] if len(self.table) else -1, -1), np.where(ok, self.table["count"][slots] if len(self.table) else 0, 0)
 
     def payload(self, start: int, count: int) -> bytes:
-        return self._raw[start * ID_BYTES : (start + count) * ID_BYTES]
+        """``count`` ids from ``start`` on, as little-endian unsigned 32-bit integers."""
+        return np.frombuffer(self._raw, f"<u{self.width}", count, start * self.width).astype("<u4").tobytes()
 
     def get(self, key: int) -> bytes | None:
         start, count = (x[0] for x in self.locate(np.array([key])))
