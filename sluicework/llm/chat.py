@@ -71,16 +71,13 @@ def root_paths(nodes: DataFrame, max_branches: int | None = None) -> DataFrame:
     chosen = leaves.withColumn("branch_rank", rank)
     if max_branches is not None:
         chosen = chosen.filter(F.col("branch_rank") <= max_branches)
-    paths = chosen.select("tree", F.col("node").alias("leaf"), "node", (F.col("length") - 1).alias("pos"), "branch_rank", F.col("total").alias("branch_score"))
+    found = [materialize(chosen.select("tree", F.col("node").alias("leaf"), "node", (F.col("length") - 1).alias("pos"), "branch_rank", F.col("total").alias("branch_score")), "chat-path")]
     for r, level in enumerate(levels):
-        above = F.when(F.col("lu").isNotNull(), F.struct(F.col("lu").alias("node"), (F.col("pos") - (1 << r)).alias("pos")))
-        both = F.array(F.struct("node", "pos"), above)
-        paths = (
-            paths.join(level, _same(paths, level, ("tree", "lt"), ("node", "ln")), "left")
-            .select("tree", "leaf", "branch_rank", "branch_score", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("at"))
-            .select("tree", "leaf", "at.node", "at.pos", "branch_rank", "branch_score")
-        )
-    return paths
+        # What is known reaches 2**r nodes up from the leaf; this adds the next 2**r.
+        paths = reduce(DataFrame.unionByName, found)
+        above = paths.join(level, _same(paths, level, ("tree", "lt"), ("node", "ln")))
+        found.append(materialize(above.select("tree", "leaf", F.col("lu").alias("node"), (F.col("pos") - (1 << r)).alias("pos"), "branch_rank", "branch_score"), "chat-path"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def format_reply_trees(messages: DataFrame, max_branches: int | None = None, trained_role: str = "assistant") -> DataFrame:
