@@ -34,10 +34,14 @@ LARGEST = 2**22
 
 
 class Node:
-    __slots__ = ("center", "radius", "children", "to_parent", "rows")
+    """A page: rows, or child pages with their routing objects and radii as arrays."""
+
+    __slots__ = ("center", "radius", "children", "centers", "radii", "to_parent", "rows")
 
     def __init__(self, center, rows=None, children=None, radius=0.0, to_parent=None):
         self.center, self.rows, self.children, self.radius, self.to_parent = center, rows, children, radius, to_parent
+        if children:
+            self.centers, self.radii = np.stack([c.center for c in children]), np.array([c.radius for c in children])
 
 
 class MTree:
@@ -91,13 +95,15 @@ class MTree:
                 break
             if node.rows is None:
                 # |d(q, parent) - d(parent, child)| bounds d(q, child) without computing it.
-                for child, apart in zip(node.children, node.to_parent):
-                    if abs(here - apart) - child.radius > limit:
-                        continue
-                    d = float(np.sqrt(((q - child.center) ** 2).sum()))
-                    if (bound := max(0.0, d - child.radius)) <= limit:
+                open_ = np.flatnonzero(np.abs(here - node.to_parent) - node.radii <= limit)
+                if not len(open_):
+                    continue
+                apart = np.sqrt(((node.centers[open_] - q) ** 2).sum(axis=1))
+                bounds = np.maximum(0.0, apart - node.radii[open_])
+                for at, d, bound in zip(open_.tolist(), apart.tolist(), bounds.tolist()):
+                    if bound <= limit:
                         tick += 1
-                        heapq.heappush(queue, (bound, tick, child, d))
+                        heapq.heappush(queue, (bound, tick, node.children[at], d))
                 continue
             rows = node.rows[np.abs(here - node.to_parent) <= limit]  # bounds as above
             if skip is not None:
