@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ class BackoffModel:
         self.langs = sorted(totals)
         self.max_n = max_n
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self._memo: dict[str, tuple[float, ...] | None] = {}
+        self._at: dict[str, int] | None = None
 
         def table(rows, total, size) -> dict[str, tuple[float, ...]]:
             raw: dict[str, list[float]] = {}
@@ -69,37 +70,52 @@ class BackoffModel:
         self.grams = table(grams, lambda u, lang: gram_totals.get((lang, len(u)), 0), max(1, len({g for _, g, _ in grams})))
 
     def word(self, word: str) -> tuple[float, ...] | None:
-        known = self.words.get(word)
-        if known is not None:
+        """The scores of one word, or None if nothing of it is known."""
+        if (known := self.words.get(word)) is not None:
             return known
-        if word in self._memo:
-            return self._memo[word]
-        marked, scores = f"^{word}$", None
+        marked = f"^{word}$"
         for n in range(min(self.max_n, len(marked)), 0, -1):
             found = [v for i in range(len(marked) - n + 1) if (n > 1 or 0 < i < len(marked) - 1) and (v := self.grams.get(marked[i : i + n]))]
             if found:
-                scores = tuple(sum(c) / len(found) for c in zip(*found))
-                break
-        if len(self._memo) >= _MEMO_WORDS:
-            self._memo.clear()
-        self._memo[word] = scores
-        return scores
+                return tuple(sum(c) / len(found) for c in zip(*found))
+        return None
+
+    def _rows(self, words: list[str]) -> list[int]:
+        """Rows of the score matrix, which grows by the words met, within a bound. Row 0 is
+        all zero: words that count for no language."""
+        if self._at is None or len(self._at) > len(self.words) + _MEMO_WORDS:
+            self._at = {w: i + 1 for i, w in enumerate(self.words)}
+            self._matrix = np.zeros((len(self.words) + _MEMO_WORDS + 1, len(self.langs)))
+            self._matrix[1 : len(self.words) + 1] = list(self.words.values()) or np.empty((0, len(self.langs)))
+            self._next = len(self.words) + 1
+        out = list(map(self._at.get, words))
+        if None in out:
+            for i, row in enumerate(out):
+                if row is None:
+                    scores = self.word(words[i])
+                    if scores is None:
+                        out[i] = self._at[words[i]] = 0
+                        continue
+                    if self._next == len(self._matrix):
+                        self._matrix = np.vstack([self._matrix, np.zeros((max(len(words), 1024), len(self.langs)))])
+                    self._matrix[self._next] = scores
+                    out[i] = self._at[words[i]] = self._next
+                    self._next += 1
+        return out
 
     def predict(self, text: str) -> tuple[str, float]:
         """The likeliest language and its share of the likelihood, flat priors. ``und`` and 0
         for a text without a letter or a model without a language; ties go to the first
         language by name."""
-        counts = Counter(words_of(text))
-        if not counts or not self.langs:
+        counts = Counter(_RUN.findall(text.lower()))
+        words = [w for w in counts if w.isalpha() or any(map(str.isalpha, w))]
+        if not words or not self.langs:
             return UNDETERMINED, 0.0
-        total = [0.0] * len(self.langs)
-        for word, n in counts.items():
-            scores = self.word(word)
-            if scores:
-                for i, s in enumerate(scores):
-                    total[i] += n * s
-        best = max(range(len(total)), key=lambda i: (total[i], -i))
-        return self.langs[best], 1.0 / sum(math.exp(max(-700.0, t - total[best])) for t in total)
+        rows = self._rows(words)
+        times = np.fromiter(map(counts.__getitem__, words), float, len(words))
+        total = times @ self._matrix[rows]
+        best = int(np.argmax(total))
+        return self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
 
 def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 100_000, max_n: int = 4) -> BackoffModel:
@@ -128,7 +144,17 @@ def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 100_000, m
         gram_totals = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
 
         def commonest(table: DataFrame, unit: str, most: int) -> list[tuple[str, str, int]]:
-            return [tuple(r) for r in table.select("lang", unit, "n").orderBy(F.col("n").desc(), unit, "lang").limit(most).collect()]
+            # Cut at a sixteenth of a doubling of the count, found from at most some thousand
+            # classes, so that the driver never gets more than ``most`` rows at once.
+            size = F.floor(F.log2("n") * 16).alias("class")
+            least, held = None, 0
+            for r in table.groupBy(size).count().orderBy(F.col("class").desc()).collect():
+                held += r["count"]
+                if held > most:
+                    break
+                least = r["class"]
+            kept = table.select("lang", unit, "n", size).filter(F.col("class") >= least) if least is not None else table.limit(0).select("lang", unit, "n")
+            return sorted(tuple(r)[:3] for r in kept.collect())
 
         top = commonest(words, "word", max_words), commonest(grams, "gram", max_grams)
         grams.unpersist()
