@@ -42,7 +42,7 @@ def normal_words(text: str) -> list[str]:
 class WordHasher:
     """64-bit word hashes, remembered within a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self._known: dict[str, int] = {}
         self._most = most
 

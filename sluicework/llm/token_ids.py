@@ -53,7 +53,7 @@ class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids. Special-token strings inside a
     text are ordinary text."""
 
-    def __init__(self, tokenizer_path: str, most_chunks: int = 800_000):
+    def __init__(self, tokenizer_path: str, most_chunks: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -144,7 +144,7 @@ def encoder(tokenizer_path: str) -> ChunkEncoder:
     return _encoders[tokenizer_path]
 
 
-def encoded_groups(texts, end_id: int, tokenizer_path: str, group_bytes: int = 8_000_000):
+def encoded_groups(texts, end_id: int, tokenizer_path: str, group_bytes: int = 4_000_000):
     """Ids of each text in order, encoding texts of about ``group_bytes`` together."""
     enc, group, size = encoder(tokenizer_path), [], 0
     for text in texts:

@@ -39,7 +39,7 @@ REJECT_AT = 0.7
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 150_000
 
 
 class Transducer:
