@@ -63,6 +63,20 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+_held: dict[str, object] = {}
+
+
+def worker_table(key: str, build: Callable[[], object]) -> object:
+    """A table that a worker process keeps between its tasks. A worker holds one at a time:
+    the next operator's takes the place of the last one's, so memory does not add up over the
+    stages of a pipeline."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = build()
+    return _held[key]
+
+
 def row_map(df: DataFrame, columns: list[str], fn: Callable[..., list], out: T.StructType) -> DataFrame:
     """Append ``out``'s columns to ``df``: ``fn`` gets one Arrow array per name in ``columns``
     and returns one array per output field. All other columns pass through untouched."""
@@ -75,6 +89,8 @@ def row_map(df: DataFrame, columns: list[str], fn: Callable[..., list], out: T.S
         for batch in batches:
             made = fn(*(batch.column(batch.schema.get_field_index(c)) for c in columns))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *out.fieldNames()])
+            del batch, made
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

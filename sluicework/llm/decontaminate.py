@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import plain_texts, row_map
+from ._shared import plain_texts, row_map, worker_table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -227,7 +227,7 @@ def _one_pass(docs: DataFrame, text: str, out: str, items) -> DataFrame:
     token = uuid.uuid4().hex
 
     def run(column: pa.Array) -> list[pa.Array]:
-        index = _index(token, items)
+        index = worker_table(f"items {token}", lambda: ItemIndex(items.value))
         found = [[{"item_id": i, "first_word": at, "similarity": s} for i, at, s in index.find(t)] for t in plain_texts(column)]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("similarity", pa.float64())]))
         return [pa.array(found, kind)]
@@ -235,18 +235,6 @@ def _one_pass(docs: DataFrame, text: str, out: str, items) -> DataFrame:
     return row_map(docs, [text], run, T.StructType([T.StructField(out, _MATCH)]))
 
 
-_indexes: dict[str, ItemIndex] = {}
-
-
-def _index(token: str, items) -> ItemIndex:
-    """The index of one pass, built once in each worker."""
-    if token not in _indexes:
-        if len(_indexes) > 2:
-            _indexes.clear()
-        _indexes[token] = ItemIndex(items.value)
-    return _indexes[token]
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per match: (doc_id, item_id, first_word, similarity)."""
     found = with_matches(docs.select("doc_id", "text"), benchmark).filter(F.size("matches") > 0)

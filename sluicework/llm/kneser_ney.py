@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialize, plain_texts, row_map
+from ._shared import materialize, plain_texts, row_map, worker_table
 
 ORDER = 4
 BITS = 16
@@ -216,9 +216,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def with_log_likelihood(docs: DataFrame, model: DataFrame, text: str = "text", local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Append loglik (the sum over the whole text) and n_symbols (its characters) to each row.
 
@@ -233,13 +230,11 @@ def with_log_likelihood(docs: DataFrame, model: DataFrame, text: str = "text", l
         spread = spark.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("level", "gram", "logp", "backoff")))
 
         def run(column: pa.Array) -> list[pa.Array]:
-            if key not in _scorers:
-                _scorers.clear()
-                _scorers[key] = Scorer(*spread.value)
+            scorer = worker_table(f"model {key}", lambda: Scorer(*spread.value))
             sums, sizes = [], []
             for group in _groups(column):
                 keys, n = gram_keys(group)
-                p = np.concatenate([[0.0], np.cumsum(_scorers[key].log_probabilities(keys))])
+                p = np.concatenate([[0.0], np.cumsum(scorer.log_probabilities(keys))])
                 ends = np.cumsum(n)
                 sums.append(p[ends] - p[ends - n])
                 sizes.append(n)

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ._shared import worker_table
+
 ID_BYTES = 4
 #: ASCII punctuation that forms a pre-token of its own behind a word.
 _TAIL = ".,!?;:%$#*&|)]}-"
@@ -134,14 +136,9 @@ class ChunkEncoder:
         return [raw[a:b] + end for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(tokenizer_path: str) -> ChunkEncoder:
-    """One encoder for each worker process and tokenizer."""
-    if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = ChunkEncoder(tokenizer_path)
-    return _encoders[tokenizer_path]
+    """The worker's encoder for a tokenizer."""
+    return worker_table(f"tokenizer {tokenizer_path}", lambda: ChunkEncoder(tokenizer_path))
 
 
 def encoded_groups(texts, end_id: int, tokenizer_path: str, group_bytes: int = 4_000_000):
