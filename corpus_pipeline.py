@@ -38,7 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows that repeat that doc_id one stays; rows without a doc_id all stay."""
     groups = simhash.near_duplicate_groups(docs.select("doc_id", "text"), words_per_shingle=5)
     counted = materialize(groups.filter("doc_id = component_id").groupBy("doc_id").count(), "pipeline-kept")
-    kept = docs.join(counted.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # The list of kept ids grows with the corpus, so the join is by sorted shuffle at any size.
+    kept = docs.join(counted.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     again = counted.filter("count > 1").select("doc_id")
     if not again.isEmpty():
         once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
