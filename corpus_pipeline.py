@@ -34,13 +34,15 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id. Of
-    rows that repeat that doc_id one stays; rows without a doc_id all stay."""
-    groups = simhash.near_duplicate_groups(docs.select("doc_id", "text"), words_per_shingle=5)
-    counted = materialize(groups.filter("doc_id = component_id").groupBy("doc_id").count(), "pipeline-kept")
+    """Of documents that share 0.8 or more of their five-word shingles, directly or through
+    others, the one with the smallest doc_id stays. Of rows that repeat that doc_id one stays;
+    rows without a doc_id all stay."""
+    groups = simhash.similar_text_groups(docs.select("doc_id", "text"), words_per_shingle=5)
+    kept_ids = materialize(groups.filter("doc_id = component_id").select("doc_id"), "pipeline-kept")
     # The list of kept ids grows with the corpus, so the join is by sorted shuffle at any size.
-    kept = docs.join(counted.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    again = counted.filter("count > 1").select("doc_id")
+    kept = docs.join(kept_ids.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = materialize(again, "pipeline-again")
     if not again.isEmpty():
         once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
         kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

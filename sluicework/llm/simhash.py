@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ._shared import binary_texts, materialize, row_map
 from .components import connected_components
+from .decontaminate import WordHasher, shingle_hashes
 
 RADIUS = 3
 SEGMENTS = 4
@@ -228,3 +229,167 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     placed = groups.join(roots, groups["rep"] == roots["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return hashed.join(placed, "fp", "left").select("doc_id", hex_digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+# -- texts by similarity -------------------------------------------------------------------------
+
+#: Least similarity of linked texts: shared distinct shingles over all distinct shingles.
+SIMILARITY = 0.8
+#: Bands of rows of least hashes: texts at the least similarity share a band in 99.9 % of cases.
+BANDS, BAND_ROWS = 20, 5
+#: Cells of the sketch that measures the similarity, and how far below the mark it may read.
+CELLS, SKETCH_SLACK = 1024, 0.005
+#: Texts at the least similarity differ in 10 of 64 fingerprint bits on average, and by more than
+#: this once in 100,000 pairs; what lies beyond is pruned before the sketches are compared.
+TEXT_RADIUS = 22
+_MIX = np.random.default_rng(0x51).integers(1, 2**63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_TEXT = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+
+def text_sketch(text: bytes, hasher: WordHasher, words_per_shingle: int = 5) -> tuple[int, int, list[int], bytes]:
+    """(content, SimHash, band keys, sketch) of a whole text; content is alike where the words
+    are. A text without words has content 0 and no keys."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0, [], bytes(CELLS)
+    content = int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words)), "big", signed=True)
+    hashes = shingle_hashes(hasher(words), words_per_shingle)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    fp = int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+    distinct = np.unique(hashes)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), 2_048):
+        np.minimum(least, ((distinct[at : at + 2_048] ^ _MIX[0]) * _MIX[1]).min(axis=1), out=least)
+    band = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        band = (band ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        band ^= band >> np.uint64(29)
+    # Of each cell of the hash range the least hash, as a byte; 0 where the cell is empty.
+    cells, first = np.unique((distinct >> np.uint64(54)).astype(np.int64), return_index=True)
+    sketch = np.zeros(CELLS, np.uint8)
+    sketch[cells] = distinct[first] % np.uint64(255) + np.uint64(1)
+    return content, fp, band.view(np.int64).tolist(), sketch.tobytes()
+
+
+def sketch_similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The similarity of a sketch with others, over the cells that either text fills."""
+    filled = (many | one) != 0
+    same = ((many == one) & filled).sum(axis=1)
+    return (same / np.maximum(filled.sum(axis=1), 1) - 1 / 255) / (1 - 1 / 255)
+
+
+def ring_viable(difference: np.ndarray, radius: int) -> np.ndarray:
+    """Which XORs have, from some start segment, a chain around the ring whose cumulative
+    differences all stay within their proportional budgets. All within the radius have one."""
+    parts = np.stack([np.bitwise_count((difference >> np.uint64(SEGMENT_BITS * s)) & np.uint64(0xFFFF)) for s in reversed(range(SEGMENTS))]).astype(np.int64)
+    ok = np.zeros(difference.shape, bool)
+    for start in range(SEGMENTS):
+        chain = np.cumsum(np.roll(parts, -start, axis=0), axis=0)
+        ok |= (chain <= np.array([radius * n // SEGMENTS for n in range(1, SEGMENTS + 1)])[:, None]).all(axis=0)
+    return ok
+
+
+_SIMILAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Members of a key that are compared together. Longer runs go on with what they did not link.
+RUN_LIMIT = 4_096
+
+
+def _similar_of_runs(similarity: float):
+    """Over rows (key, content, fp, sketch) sorted by key: links that connect what the similar
+    pairs of a key connect. Of a long run, one text of each set linked so far stays in memory."""
+
+    def forest(contents: np.ndarray, fps: np.ndarray, sketches: np.ndarray, links: list) -> np.ndarray:
+        left, roots = np.arange(len(contents)), []
+        while len(left):
+            roots.append(left[0])
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                near = np.flatnonzero(ring_viable(fps[left] ^ fps[at], TEXT_RADIUS))
+                near = near[sketch_similarity(sketches[at], sketches[left[near]]) >= similarity - SKETCH_SLACK]
+                if len(near):
+                    hit = left[near]
+                    links.append((np.full(len(hit), contents[at]), contents[hit]))
+                    queue.extend(hit.tolist())
+                    left = np.delete(left, near)
+        return np.array(roots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, CELLS), np.uint8))
+        goal = RUN_LIMIT
+
+        def settle(rows: tuple, links: list) -> tuple:
+            cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+            kept = rows[0][:0]
+            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows[0])]):
+                kept = at + forest(*(c[at:end] for c in rows[1:]), links)
+            return tuple(c[kept] for c in rows)
+
+        def out(links: list) -> pa.RecordBatch:
+            a, b = (np.concatenate(c) for c in zip(*links)) if links else (np.empty(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_SIMILAR)
+
+        for batch in batches:
+            new = (
+                batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64),
+                np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CELLS),
+            )
+            held = tuple(np.concatenate(c) for c in zip(held, new))
+            links: list = []
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if last:
+                settle(tuple(c[:last] for c in held), links)
+                held, goal = tuple(c[last:] for c in held), RUN_LIMIT
+            if len(held[0]) > goal:
+                held = settle(held, links)
+                goal = len(held[0]) + RUN_LIMIT
+            yield out(links)
+        links = []
+        if len(held[0]):
+            settle(held, links)
+        yield out(links)
+
+    return run
+
+
+def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document with an id: (doc_id, component_id), texts linked where they share
+    ``similarity`` of their distinct word shingles.
+
+    A fingerprint radius of 3 is far below what such texts differ by, and segment keys for a radius
+    that is not would select next to nothing. So candidates share a band of least hashes; the ring
+    filter at TEXT_RADIUS prunes them, and a sketch of CELLS cells measures what is left, to 0.013 for long texts and
+    nearly exactly for texts of few shingles. Texts of the same words meet as one before any
+    join; null and empty texts are alike. Rows without an id are left out, rows that repeat an
+    id are one document. An empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            made = [text_sketch(t, hasher, words_per_shingle) for t in binary_texts(batch.column(1))]
+            columns = list(zip(*made)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(_TEXT)[1:]))], schema=_TEXT)
+
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    sketched = materialize(rows.mapInArrow(run, "doc_id long, content long, fp long, keys array<long>, sketch binary"), "similar-sketches")
+    owners = sketched.groupBy("content").agg(F.min("doc_id").alias("rep"))
+    texts = materialize(sketched.join(owners, (sketched["doc_id"] == owners["rep"]) & (sketched["content"] == owners["content"]), "left_semi").drop("doc_id").dropDuplicates(["content"]), "similar-texts")
+    keyed = texts.select(F.explode("keys").alias("key"), "content")
+    many = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    met = keyed.join(many.hint("merge"), "key", "left_semi")
+    full = met.join(texts.select("content", "fp", "sketch").hint("merge"), "content").select("key", "content", "fp", "sketch")
+    links = materialize(full.repartition("key").sortWithinPartitions("key").mapInArrow(_similar_of_runs(similarity), "a long, b long").distinct(), "similar-links")
+    reps = sketched.groupBy("content").agg(F.min("doc_id").alias("rep"))
+    named = (
+        links.join(reps.select(F.col("content").alias("a"), F.col("rep").alias("rep_a")), "a")
+        .join(reps.select(F.col("content").alias("b"), F.col("rep").alias("rep_b")), "b")
+        .select("rep_a", "rep_b")
+    )
+    # Documents of the same words, and one id with several texts, are links of their own.
+    mine = sketched.join(reps, "content").filter("doc_id <> rep").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
+    roots = connected_components(named.unionByName(mine), "rep_a", "rep_b")
+    ids = sketched.select("doc_id").distinct()
+    return ids.join(roots, ids["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

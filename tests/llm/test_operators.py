@@ -116,6 +116,62 @@ def brute_close(links, nodes):
     return {n: find(n) for n in nodes}
 
 
+def brute_similarity(texts, k=5):
+    """{(i, j): share of distinct word shingles}, texts without words being alike."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset())
+    return {(i, j): len(a & b) / len(a | b) if a | b else 1.0 for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a & b or not a | b}
+
+
+def check_similar(ids, texts, component, slack=0.03):
+    """All that is surely similar is together; all that is together is at least nearly so."""
+    shares = brute_similarity(texts)
+    sure, most = (brute_close({(ids[i], ids[j]) for (i, j), s in shares.items() if s >= 0.8 + x}, ids) for x in (slack, -slack))
+    for groups, finer in ((sure, True), (most, False)):
+        for i in ids:
+            assert component[i] == component[groups[i]] if finer else most[i] == most[component[i]], i
+    assert all(component[c] == c <= i for i, c in component.items())
+
+
+@pytest.mark.parametrize("limit", [simhash.RUN_LIMIT, 3])
+def test_similar_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "RUN_LIMIT", limit)
+    rng = random.Random(7)
+    texts = []
+    for n in (40, 150, 1200, 4000):
+        for _ in range(6):
+            base = words(rng, n, 2000).split()
+            texts += [" ".join(base), "  ".join(base).upper(), " ".join(base)]
+            for share in (0.005, 0.01, 0.08):
+                w = list(base)
+                for _ in range(max(1, int(n * share))):
+                    w[rng.randrange(n)] = "changed"
+                texts.append(" ".join(w))
+            texts.append(" ".join(base[: n // 2] + words(rng, n // 2, 2000).split()))
+    texts += ODD
+    table = docs(spark, texts).selectExpr("*", "'x' AS fp", "1 AS content", "2 AS component_id")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_text_groups(table).collect()}
+    assert len(got) == len(texts)
+    check_similar(list(range(len(texts))), texts, got)
+
+
+def test_similar_texts_with_odd_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(7, a, "en"), (3, b, None), (7, b, "en"), (9, a, "en"), (None, a, "en"), (5, None, "en"), (6, "", "en"), (3, b, None)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_text_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {3: 3, 7: 3, 9: 3, 5: 5, 6: 5}
+    assert simhash.similar_text_groups(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_ring_filter_keeps_all_within_its_radius():
+    rng = np.random.default_rng(4)
+    bits = rng.random((4000, 64)) < rng.random((4000, 1)) * 0.6
+    differences = np.packbits(bits, axis=1).view(np.uint64)[:, 0]
+    assert (simhash.ring_viable(differences, simhash.TEXT_RADIUS) == (bits.sum(axis=1) <= simhash.TEXT_RADIUS)).all()
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(139, 60)] + [(500, 500), (None, 3)]

@@ -1,7 +1,7 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
 from conftest import SMALL
-from test_operators import brute_components, brute_fingerprint, brute_lines, brute_matches
+from test_operators import brute_close, brute_lines, brute_matches, brute_similarity
 
 import corpus_pipeline
 from sluicework.llm._shared import materialize
@@ -22,9 +22,10 @@ def test_stages(spark):
             kept, _ = brute_lines(list(before.values()), 10)
             assert {r["doc_id"]: r["text"] for r in rows} == {i: "\n".join(k) for i, k in zip(before, kept)}
         if name == "near_dedup":
-            ids = list(before)
-            groups = brute_components(ids, [brute_fingerprint(before[i], 5) for i in ids])
-            assert {r["doc_id"] for r in rows} == set(groups.values())
+            kept, ids = {r["doc_id"] for r in rows}, list(before)
+            shares = brute_similarity(list(before.values()))
+            low, high = (set(brute_close({(ids[i], ids[j]) for (i, j), s in shares.items() if s >= mark}, ids).values()) for mark in (0.77, 0.83))
+            assert low <= kept <= high
         if name == "decontamination":
             assert {r["doc_id"] for r in rows} == {i for i, t in before.items() if not brute_matches(bench, t)}
         if name == "packing":
