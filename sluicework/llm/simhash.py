@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import binary_texts, materialize, row_map
+from ._shared import binary_texts, materialize, release, row_map
 from .components import connected_components
 from .decontaminate import WordHasher, shingle_hashes
 
@@ -291,14 +291,16 @@ def ring_viable(difference: np.ndarray, radius: int) -> np.ndarray:
     return ok
 
 
-_SIMILAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Members of a key that are compared together. Longer runs go on with what they did not link.
-RUN_LIMIT = 4_096
+_SIMILAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+#: Members of a key that are compared in one task. A larger key is dealt in parts of about this
+#: size; one text of each set that a part links goes on to the comparison of the parts.
+RUN_LIMIT = 2_048
 
 
 def _similar_of_runs(similarity: float):
-    """Over rows (key, content, fp, sketch) sorted by key: links that connect what the similar
-    pairs of a key connect. Of a long run, one text of each set linked so far stays in memory."""
+    """Over rows (key, part, content, fp, sketch, again) sorted by key and part: links (a, b) that
+    connect what the similar pairs of a part connect, and, where ``again``, a row (root, null,
+    key) for each connected set. A run that is longer than planned goes on with its roots."""
 
     def forest(contents: np.ndarray, fps: np.ndarray, sketches: np.ndarray, links: list) -> np.ndarray:
         left, roots = np.arange(len(contents)), []
@@ -316,40 +318,45 @@ def _similar_of_runs(similarity: float):
                     left = np.delete(left, near)
         return np.array(roots)
 
+    def ends(rows: tuple) -> np.ndarray:
+        return np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, CELLS), np.uint8))
-        goal = RUN_LIMIT
+        none = np.empty(0, np.int64)
+        held = (none, none, none, none.view(np.uint64), np.empty((0, CELLS), np.uint8), none.astype(bool))
+        goal = 2 * RUN_LIMIT
 
         def settle(rows: tuple, links: list) -> tuple:
-            cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
-            kept = rows[0][:0]
-            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows[0])]):
-                kept = at + forest(*(c[at:end] for c in rows[1:]), links)
+            cuts = ends(rows).tolist()
+            kept = [at + forest(rows[2][at:end], rows[3][at:end], rows[4][at:end], links) for at, end in zip([0, *cuts], [*cuts, len(rows[0])])]
+            kept = np.concatenate(kept)
             return tuple(c[kept] for c in rows)
 
-        def out(links: list) -> pa.RecordBatch:
-            a, b = (np.concatenate(c) for c in zip(*links)) if links else (np.empty(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_SIMILAR)
+        def out(links: list, done: list) -> pa.RecordBatch:
+            a, b = (np.concatenate(c) for c in zip(*links)) if links else (none, none)
+            roots, keys = (np.concatenate(c) for c in zip(*((r[2][r[5]], r[0][r[5]]) for r in done))) if done else (none, none)
+            columns = [np.concatenate([a, roots]), pa.concat_arrays([pa.array(b), pa.nulls(len(roots), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(keys)])]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), *columns[1:]], schema=_SIMILAR)
 
         for batch in batches:
-            new = (
-                batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64),
-                np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CELLS),
-            )
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            new[3] = new[3].view(np.uint64)
+            new += [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, CELLS), batch.column(5).to_numpy(zero_copy_only=False)]
             held = tuple(np.concatenate(c) for c in zip(held, new))
-            links: list = []
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if last:
-                settle(tuple(c[:last] for c in held), links)
-                held, goal = tuple(c[last:] for c in held), RUN_LIMIT
+            links, done = [], []
+            cuts = ends(held)
+            if len(cuts):
+                last = int(cuts[-1])
+                done.append(settle(tuple(c[:last] for c in held), links))
+                held, goal = tuple(c[last:] for c in held), 2 * RUN_LIMIT
             if len(held[0]) > goal:
                 held = settle(held, links)
-                goal = len(held[0]) + RUN_LIMIT
-            yield out(links)
-        links = []
+                goal = len(held[0]) + 2 * RUN_LIMIT
+            yield out(links, done)
+        links, done = [], []
         if len(held[0]):
-            settle(held, links)
-        yield out(links)
+            done.append(settle(held, links))
+        yield out(links, done)
 
     return run
 
@@ -361,7 +368,9 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
     A fingerprint radius of 3 is far below what such texts differ by, and segment keys for a radius
     that is not would select next to nothing. So candidates share a band of least hashes; the ring
     filter at TEXT_RADIUS prunes them, and a sketch of CELLS cells measures what is left, to 0.013 for long texts and
-    nearly exactly for texts of few shingles. Texts of the same words meet as one before any
+    nearly exactly for texts of few shingles. A key of more than RUN_LIMIT texts is compared in
+    parts, then the parts by one text of each set found: a link whose ends lie in two parts counts
+    through those. Texts of the same words meet as one before any
     join; null and empty texts are alike. Rows without an id are left out, rows that repeat an
     id are one document. An empty table gives an empty result.
     """
@@ -375,14 +384,28 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sketched = materialize(rows.mapInArrow(run, "doc_id long, content long, fp long, keys array<long>, sketch binary"), "similar-sketches")
-    owners = sketched.groupBy("content").agg(F.min("doc_id").alias("rep"))
-    texts = materialize(sketched.join(owners, (sketched["doc_id"] == owners["rep"]) & (sketched["content"] == owners["content"]), "left_semi").drop("doc_id").dropDuplicates(["content"]), "similar-texts")
-    keyed = texts.select(F.explode("keys").alias("key"), "content")
-    many = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    met = keyed.join(many.hint("merge"), "key", "left_semi")
-    full = met.join(texts.select("content", "fp", "sketch").hint("merge"), "content").select("key", "content", "fp", "sketch")
-    links = materialize(full.repartition("key").sortWithinPartitions("key").mapInArrow(_similar_of_runs(similarity), "a long, b long").distinct(), "similar-links")
-    reps = sketched.groupBy("content").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(sketched.groupBy("content").agg(F.min("doc_id").alias("rep")), "similar-reps")
+    # Joined by document as well, so that copies of one text are dealt over all partitions.
+    owned = [F.col("content") == F.col("c"), F.col("doc_id") == F.col("rep")]
+    owner = reps.select(F.col("content").alias("c"), "rep").hint("merge")
+    keys = materialize(sketched.select("doc_id", "content", "keys").join(owner, owned, "left_semi").select("content", "doc_id", "keys").dropDuplicates(["content", "doc_id"]), "similar-keys")
+    keyed = keys.select(F.explode("keys").alias("key"), "content", F.col("doc_id").alias("rep"))
+    members = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("content").alias("x"), F.bit_xor(F.xxhash64("content")).alias("y"))
+    # Keys with the same members have the same pairs: one of them is enough.
+    many = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    met = keyed.join(many.hint("merge"), "key").select("key", "n", F.col("content").alias("c"), "rep")
+    sketches = sketched.select("doc_id", "content", "fp", "sketch").dropDuplicates(["content", "doc_id"])
+    full = sketches.join(met.hint("merge"), owned).select("key", "content", "fp", "sketch", F.expr(f"n div {RUN_LIMIT + 1} + 1").alias("parts"))
+    salted = full.withColumn("part", F.pmod(F.xxhash64("content"), "parts"))
+    compare = "a long, b long, key long"
+    first = salted.repartition("key", "part").sortWithinPartitions("key", "part")
+    first = first.select("key", "part", "content", "fp", "sketch", (F.col("parts") > 1).alias("again"))
+    found = materialize(first.mapInArrow(_similar_of_runs(similarity), compare).distinct(), "similar-links")
+    links = found.filter("b is not null").select("a", "b")
+    roots = found.filter("b is null").select(F.col("a").alias("c"), "key").join(reps.select(F.col("content").alias("c"), "rep").hint("merge"), "c")
+    if not roots.isEmpty():
+        rest = sketches.join(roots.hint("merge"), owned).select("key", F.lit(0).cast("long").alias("part"), "content", "fp", "sketch", F.lit(False).alias("again"))
+        links = links.unionByName(rest.repartition("key").sortWithinPartitions("key").mapInArrow(_similar_of_runs(similarity), compare).select("a", "b"))
     named = (
         links.join(reps.select(F.col("content").alias("a"), F.col("rep").alias("rep_a")), "a")
         .join(reps.select(F.col("content").alias("b"), F.col("rep").alias("rep_b")), "b")
@@ -392,4 +415,7 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
     mine = sketched.join(reps, "content").filter("doc_id <> rep").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
     roots = connected_components(named.unionByName(mine), "rep_a", "rep_b")
     ids = sketched.select("doc_id").distinct()
-    return ids.join(roots, ids["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    placed = materialize(ids.join(roots, ids["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id")), "similar-groups")
+    for table in (sketched, reps, keys, found):
+        release(table)
+    return placed

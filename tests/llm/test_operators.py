@@ -435,6 +435,9 @@ def brute_matches(items, text):
         w = decontaminate.normal_words(t or "")
         if not w or not dw:
             continue
+        # Windows that share no shingle with the item have similarity 0.
+        if len(dw) >= len(w) >= 5 and not shingles(dw).keys() & shingles(w).keys():
+            continue
         for at in range(max(1, len(dw) - len(w) + 1)):
             a, b = shingles(dw[at : at + len(w)]), shingles(w)
             shared = sum((a & b).values())
