@@ -38,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     others, the one with the smallest doc_id stays. Of rows that repeat that doc_id one stays;
     rows without a doc_id all stay."""
     groups = simhash.similar_text_groups(docs.select("doc_id", "text"), words_per_shingle=5)
-    kept_ids = materialize(groups.filter("doc_id = component_id").select("doc_id"), "pipeline-kept")
+    kept_ids = groups.filter("doc_id = component_id").select("doc_id")
     # The list of kept ids grows with the corpus, so the join is by sorted shuffle at any size.
     kept = docs.join(kept_ids.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
