@@ -148,7 +148,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     trees, n_trees = blocks(usable(rows), TREE_VECTORS, "rows")
     asked, _ = blocks(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")), QUERY_VECTORS, "queries")
     tasks = asked.select(F.col("rows").alias("questions"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))).alias("block"))
-    met = trees.join(tasks, "block").select("block", "rows", "questions")
+    # Sorted by block at every size: the tasks repeat the queries for each tree, which no estimate
+    # of their size counts, so a broadcast of them has no bound.
+    met = trees.join(tasks.hint("merge"), "block").select("block", "rows", "questions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, tree = None, None
