@@ -254,11 +254,12 @@ def text_sketch(text: bytes, hasher: WordHasher, words_per_shingle: int = 5) ->
         return 0, 0, [], bytes(CELLS)
     content = int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words)), "big", signed=True)
     hashes = shingle_hashes(hasher(words), words_per_shingle)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        counts += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
-    fp = int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+    # Over the distinct shingles, as the similarity is: repeats must not move the fingerprint.
     distinct = np.unique(hashes)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(distinct), _CHUNK):
+        counts += np.unpackbits(distinct[at : at + _CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    fp = int.from_bytes(np.packbits(counts * 2 > len(distinct)).tobytes(), "big", signed=True)
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(distinct), 2_048):
         np.minimum(least, ((distinct[at : at + 2_048] ^ _MIX[0]) * _MIX[1]).min(axis=1), out=least)
