@@ -237,29 +237,30 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 SIMILARITY = 0.8
 #: Bands of rows of least hashes: texts at the least similarity share a band in 99.9 % of cases.
 BANDS, BAND_ROWS = 20, 5
-#: Cells of the sketch that measures the similarity, and how far below the mark it may read.
-CELLS, SKETCH_SLACK = 1024, 0.005
+#: Cells of the sketch that prunes candidates, and how far below the mark it may read: more than
+#: four of its deviations. What it leaves is compared shingle by shingle.
+CELLS, SKETCH_SLACK = 1024, 0.06
 #: Texts at the least similarity differ in 10 of 64 fingerprint bits on average, and by more than
-#: this once in 100,000 pairs; what lies beyond is pruned before the sketches are compared.
-TEXT_RADIUS = 22
+#: this once in 100,000 pairs; what lies beyond is pruned before the sketches are compared. Texts
+#: of few shingles scatter more, so no pair with one of FEW_SHINGLES or fewer is pruned.
+TEXT_RADIUS, FEW_SHINGLES = 22, 128
 _MIX = np.random.default_rng(0x51).integers(1, 2**63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_TEXT = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_TEXT = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("keys", pa.list_(pa.int64())), ("text", pa.binary())])
 
 
-def text_sketch(text: bytes, hasher: WordHasher, words_per_shingle: int = 5) -> tuple[int, int, list[int], bytes]:
-    """(content, SimHash, band keys, sketch) of a whole text; content is alike where the words
-    are. A text without words has content 0 and no keys."""
+def text_shingles(text: bytes, hasher: WordHasher, words_per_shingle: int = 5) -> np.ndarray:
+    """The sorted distinct shingle hashes of a whole text."""
+    return np.unique(shingle_hashes(hasher(text.lower().split()), words_per_shingle))
+
+
+def text_keys(text: bytes, hasher: WordHasher, words_per_shingle: int = 5) -> tuple[int, list[int]]:
+    """(content, band keys) of a whole text; content is alike where the words are. A text
+    without words has content 0 and no keys."""
     words = text.lower().split()
     if not words:
-        return 0, 0, [], bytes(CELLS)
+        return 0, []
     content = int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words)), "big", signed=True)
-    hashes = shingle_hashes(hasher(words), words_per_shingle)
-    # Over the distinct shingles, as the similarity is: repeats must not move the fingerprint.
-    distinct = np.unique(hashes)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(distinct), _CHUNK):
-        counts += np.unpackbits(distinct[at : at + _CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
-    fp = int.from_bytes(np.packbits(counts * 2 > len(distinct)).tobytes(), "big", signed=True)
+    distinct = text_shingles(text, hasher, words_per_shingle)
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(distinct), 2_048):
         np.minimum(least, ((distinct[at : at + 2_048] ^ _MIX[0]) * _MIX[1]).min(axis=1), out=least)
@@ -267,11 +268,26 @@ def text_sketch(text: bytes, hasher: WordHasher, words_per_shingle: int = 5) ->
     for column in least.reshape(BANDS, BAND_ROWS).T:
         band = (band ^ column) * np.uint64(0x9E3779B97F4A7C15)
         band ^= band >> np.uint64(29)
-    # Of each cell of the hash range the least hash, as a byte; 0 where the cell is empty.
-    cells, first = np.unique((distinct >> np.uint64(54)).astype(np.int64), return_index=True)
+    return content, band.view(np.int64).tolist()
+
+
+def set_fingerprint(distinct: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes: over distinct ones, as the similarity is, so that
+    repeats do not move it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(distinct), _CHUNK):
+        counts += np.unpackbits(distinct[at : at + _CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(counts * 2 > len(distinct)).tobytes(), "big", signed=True)
+
+
+def set_sketch(distinct: np.ndarray) -> np.ndarray:
+    """Of each cell of the hash range the least of the sorted hashes, as a byte; 0 where the
+    cell is empty."""
     sketch = np.zeros(CELLS, np.uint8)
-    sketch[cells] = distinct[first] % np.uint64(255) + np.uint64(1)
-    return content, fp, band.view(np.int64).tolist(), sketch.tobytes()
+    cells = (distinct >> np.uint64(54)).astype(np.int64)
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    sketch[cells[first]] = distinct[first] % np.uint64(255) + np.uint64(1)
+    return sketch
 
 
 def sketch_similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -292,6 +308,35 @@ def ring_viable(difference: np.ndarray, radius: int) -> np.ndarray:
     return ok
 
 
+def exact_similarity(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """Shared over all shingles of a sorted set with each of some others, none empty."""
+    sizes = np.array([len(m) for m in many])
+    pool = np.concatenate(many)
+    same = one[np.minimum(np.searchsorted(one, pool), len(one) - 1)] == pool
+    shared = np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return shared / (sizes + len(one) - shared)
+
+
+class TextRows:
+    """Texts to compare: content, fingerprint, sketch and shingle set of each."""
+
+    def __init__(self, contents: np.ndarray, fps: np.ndarray, sets: list[np.ndarray]):
+        self.contents, self.fps, self.sets = contents, fps, sets
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.sketches = np.stack([set_sketch(s) for s in sets]) if sets else np.empty((0, CELLS), np.uint8)
+
+    def similar(self, at: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of ``others``, by place in it, are similar to the text at ``at``. Fingerprint
+        and sketch only prune; the shingles decide."""
+        near = np.flatnonzero(ring_viable(self.fps[others] ^ self.fps[at], TEXT_RADIUS) | (np.minimum(self.sizes[others], self.sizes[at]) <= FEW_SHINGLES))
+        near = near[sketch_similarity(self.sketches[at], self.sketches[others[near]]) >= similarity - SKETCH_SLACK]
+        hit = [near[:0]]
+        for to in range(0, len(near), 256):
+            part = near[to : to + 256]
+            hit.append(part[exact_similarity(self.sets[at], [self.sets[i] for i in others[part]]) >= similarity])
+        return np.concatenate(hit)
+
+
 _SIMILAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 #: Members of a key that are compared in one task. A larger key is dealt in parts of about this
 #: size; one text of each set that a part links goes on to the comparison of the parts.
@@ -299,22 +344,21 @@ RUN_LIMIT = 2_048
 
 
 def _similar_of_runs(similarity: float):
-    """Over rows (key, part, content, fp, sketch, again) sorted by key and part: links (a, b) that
+    """Over rows (key, part, content, fp, shingles, again) sorted by key and part: links (a, b) that
     connect what the similar pairs of a part connect, and, where ``again``, a row (root, null,
     key) for each connected set. A run that is longer than planned goes on with its roots."""
 
-    def forest(contents: np.ndarray, fps: np.ndarray, sketches: np.ndarray, links: list) -> np.ndarray:
-        left, roots = np.arange(len(contents)), []
+    def forest(rows: TextRows, left: np.ndarray, links: list) -> np.ndarray:
+        roots = []
         while len(left):
             roots.append(left[0])
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 at = queue.pop()
-                near = np.flatnonzero(ring_viable(fps[left] ^ fps[at], TEXT_RADIUS))
-                near = near[sketch_similarity(sketches[at], sketches[left[near]]) >= similarity - SKETCH_SLACK]
+                near = rows.similar(at, left, similarity)
                 if len(near):
                     hit = left[near]
-                    links.append((np.full(len(hit), contents[at]), contents[hit]))
+                    links.append((np.full(len(hit), rows.contents[at]), rows.contents[hit]))
                     queue.extend(hit.tolist())
                     left = np.delete(left, near)
         return np.array(roots)
@@ -324,12 +368,15 @@ def _similar_of_runs(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
-        held = (none, none, none, none.view(np.uint64), np.empty((0, CELLS), np.uint8), none.astype(bool))
+        held = (none, none, none, none.view(np.uint64), none.astype(object), none.astype(bool))
         goal = 2 * RUN_LIMIT
 
         def settle(rows: tuple, links: list) -> tuple:
             cuts = ends(rows).tolist()
-            kept = [at + forest(rows[2][at:end], rows[3][at:end], rows[4][at:end], links) for at, end in zip([0, *cuts], [*cuts, len(rows[0])])]
+            kept = []
+            for at, end in zip([0, *cuts], [*cuts, len(rows[0])]):
+                texts = TextRows(rows[2][at:end], rows[3][at:end], list(rows[4][at:end]))
+                kept.append(at + forest(texts, np.arange(end - at), links))
             kept = np.concatenate(kept)
             return tuple(c[kept] for c in rows)
 
@@ -342,7 +389,7 @@ def _similar_of_runs(similarity: float):
         for batch in batches:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             new[3] = new[3].view(np.uint64)
-            new += [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, CELLS), batch.column(5).to_numpy(zero_copy_only=False)]
+            new += [_sets(batch.column(4)), batch.column(5).to_numpy(zero_copy_only=False)]
             held = tuple(np.concatenate(c) for c in zip(held, new))
             links, done = [], []
             cuts = ends(held)
@@ -362,14 +409,22 @@ def _similar_of_runs(similarity: float):
     return run
 
 
+def _sets(column: pa.Array) -> np.ndarray:
+    """The shingle sets of a binary column, each an array of its own."""
+    out = np.empty(len(column), object)
+    for i, value in enumerate(column):
+        out[i] = np.frombuffer(value.as_py(), np.uint64)
+    return out
+
+
 def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document with an id: (doc_id, component_id), texts linked where they share
     ``similarity`` of their distinct word shingles.
 
     A fingerprint radius of 3 is far below what such texts differ by, and segment keys for a radius
     that is not would select next to nothing. So candidates share a band of least hashes; the ring
-    filter at TEXT_RADIUS prunes them, and a sketch of CELLS cells measures what is left, to 0.013 for long texts and
-    nearly exactly for texts of few shingles. A key of more than RUN_LIMIT texts is compared in
+    filter at TEXT_RADIUS and a sketch of CELLS cells prune them, and the shingles of both texts
+    decide. A key of more than RUN_LIMIT texts is compared in
     parts, then the parts by one text of each set found: a link whose ends lie in two parts counts
     through those. Texts of the same words meet as one before any
     join; null and empty texts are alike. Rows without an id are left out, rows that repeat an
@@ -379,33 +434,50 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            made = [text_sketch(t, hasher, words_per_shingle) for t in binary_texts(batch.column(1))]
-            columns = list(zip(*made)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(_TEXT)[1:]))], schema=_TEXT)
+            made = [text_keys(t, hasher, words_per_shingle) for t in binary_texts(batch.column(1))]
+            contents, keys = zip(*made) if made else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(1)], schema=_TEXT)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            sets = [text_shingles(t, hasher, words_per_shingle) for t in binary_texts(batch.column(1))]
+            columns = [batch.column(0), pa.array([set_fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["content", "fp", "shingles", "places"])
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketched = materialize(rows.mapInArrow(run, "doc_id long, content long, fp long, keys array<long>, sketch binary"), "similar-sketches")
-    reps = materialize(sketched.groupBy("content").agg(F.min("doc_id").alias("rep")), "similar-reps")
+    written = materialize(rows.mapInArrow(run, "doc_id long, content long, keys array<long>, text binary"), "similar-texts")
+    reps = materialize(written.groupBy("content").agg(F.min("doc_id").alias("rep")), "similar-reps")
     # Joined by document as well, so that copies of one text are dealt over all partitions.
     owned = [F.col("content") == F.col("c"), F.col("doc_id") == F.col("rep")]
     owner = reps.select(F.col("content").alias("c"), "rep").hint("merge")
-    keys = materialize(sketched.select("doc_id", "content", "keys").join(owner, owned, "left_semi").select("content", "doc_id", "keys").dropDuplicates(["content", "doc_id"]), "similar-keys")
+    keys = materialize(written.select("doc_id", "content", "keys").join(owner, owned, "left_semi").select("content", "doc_id", "keys").dropDuplicates(["content", "doc_id"]), "similar-keys")
     keyed = keys.select(F.explode("keys").alias("key"), "content", F.col("doc_id").alias("rep"))
     members = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("content").alias("x"), F.bit_xor(F.xxhash64("content")).alias("y"))
     # Keys with the same members have the same pairs: one of them is enough.
     many = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    met = keyed.join(many.hint("merge"), "key").select("key", "n", F.col("content").alias("c"), "rep")
-    sketches = sketched.select("doc_id", "content", "fp", "sketch").dropDuplicates(["content", "doc_id"])
-    full = sketches.join(met.hint("merge"), owned).select("key", "content", "fp", "sketch", F.expr(f"n div {RUN_LIMIT + 1} + 1").alias("parts"))
-    salted = full.withColumn("part", F.pmod(F.xxhash64("content"), "parts"))
+    met = keyed.join(many.hint("merge"), "key").select("key", F.col("content").alias("c"), "rep", F.expr(f"n div {RUN_LIMIT + 1} + 1").alias("parts"))
+    texts = written.select("doc_id", "content", "text").dropDuplicates(["content", "doc_id"])
+
+    def measured(places: DataFrame) -> DataFrame:
+        """The columns of ``places`` (c, rep, key, part and more) with content, fp and shingles.
+        A text is measured once, however many places it has."""
+        others = [c for c in places.columns if c not in ("c", "rep")]
+        listed = places.groupBy("c", "rep").agg(F.collect_list(F.struct(*others)).alias("places"))
+        met = texts.join(listed.hint("merge"), owned).select("content", "text", "places")
+        out = T.StructType([T.StructField("content", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("shingles", T.BinaryType()), met.schema["places"]])
+        made = met.mapInArrow(measure, out)
+        return made.select(F.explode("places").alias("p"), "content", "fp", "shingles").select("p.*", "content", "fp", "shingles")
+
+    run_columns = ["key", "part", "content", "fp", "shingles", "again"]
     compare = "a long, b long, key long"
-    first = salted.repartition("key", "part").sortWithinPartitions("key", "part")
-    first = first.select("key", "part", "content", "fp", "sketch", (F.col("parts") > 1).alias("again"))
+    first = measured(met.select("c", "rep", "key", F.pmod(F.xxhash64("c"), "parts").alias("part"), (F.col("parts") > 1).alias("again")))
+    first = first.select(*run_columns).repartition("key", "part").sortWithinPartitions("key", "part")
     found = materialize(first.mapInArrow(_similar_of_runs(similarity), compare).distinct(), "similar-links")
     links = found.filter("b is not null").select("a", "b")
     roots = found.filter("b is null").select(F.col("a").alias("c"), "key").join(reps.select(F.col("content").alias("c"), "rep").hint("merge"), "c")
     if not roots.isEmpty():
-        rest = sketches.join(roots.hint("merge"), owned).select("key", F.lit(0).cast("long").alias("part"), "content", "fp", "sketch", F.lit(False).alias("again"))
+        rest = measured(roots.select("c", "rep", "key", F.lit(0).cast("long").alias("part"), F.lit(False).alias("again"))).select(*run_columns)
         links = links.unionByName(rest.repartition("key").sortWithinPartitions("key").mapInArrow(_similar_of_runs(similarity), compare).select("a", "b"))
     named = (
         links.join(reps.select(F.col("content").alias("a"), F.col("rep").alias("rep_a")), "a")
@@ -413,10 +485,10 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
         .select("rep_a", "rep_b")
     )
     # Documents of the same words, and one id with several texts, are links of their own.
-    mine = sketched.join(reps, "content").filter("doc_id <> rep").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
+    mine = written.join(reps, "content").filter("doc_id <> rep").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
     roots = connected_components(named.unionByName(mine), "rep_a", "rep_b")
-    ids = sketched.select("doc_id").distinct()
+    ids = written.select("doc_id").distinct()
     placed = materialize(ids.join(roots, ids["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id")), "similar-groups")
-    for table in (sketched, reps, keys, found):
+    for table in (written, reps, keys, found):
         release(table)
     return placed

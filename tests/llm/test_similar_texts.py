@@ -20,3 +20,17 @@ def test_repeats_do_not_part_texts(spark):
         texts += [f"{line} {line} {rest}", " ".join([line] * 60) + f" {rest}"]
     got = groups(spark, texts)
     assert all(got[i] == i - i % 2 for i in range(len(texts)))
+
+
+def test_long_texts_are_measured_exactly(spark):
+    """Pairs just above and just below the mark, of more shingles than a sketch has cells."""
+    rng = random.Random(5)
+    texts = []
+    for pair in range(40):
+        base = [f"x{rng.randrange(10**9)}" for _ in range(4_000)]
+        # Replacing the last m of 3,996 shingles leaves (3996 - m) / (3996 + m) in common.
+        m = 440 if pair % 2 else 450
+        texts += [" ".join(base), " ".join(base[:-m] + [f"y{rng.randrange(10**9)}" for _ in range(m)])]
+    got = groups(spark, texts)
+    for i in range(0, len(texts), 2):
+        assert (got[i] == got[i + 1]) == (i // 2 % 2 == 1), i
