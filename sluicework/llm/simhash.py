@@ -339,8 +339,11 @@ class TextRows:
 
 _SIMILAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 #: Members of a key that are compared in one task. A larger key is dealt in parts of about this
-#: size; one text of each set that a part links goes on to the comparison of the parts.
+#: size, then one text of each set that a part links is compared with those of the other parts.
+#: What is not one component after that is compared text by text, in blocks.
 RUN_LIMIT = 2_048
+#: Bytes of text of a key, or of a block, that one task holds.
+RUN_BYTES = 32 << 20
 
 
 def _similar_of_runs(similarity: float):
@@ -409,6 +412,65 @@ def _similar_of_runs(similarity: float):
     return run
 
 
+def _similar_of_blocks(similarity: float):
+    """Over rows (key, part, content, fp, shingles, block, component) sorted by key and part, a part
+    being one or two blocks: links that connect all components that similar pairs connect. Pairs
+    of two blocks are compared across, those of one block among themselves."""
+
+    def settle(rows: list[tuple], links: list) -> None:
+        contents, fps, sets, blocks, components = zip(*rows)
+        texts = TextRows(np.array(contents), np.array(fps, np.int64).view(np.uint64), list(sets))
+        blocks, components = np.array(blocks), np.array(components)
+        low, high = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+        for place, at in enumerate(low):
+            others = high if blocks.min() != blocks.max() else low[place + 1 :]
+            others = others[components[others] != components[at]]
+            if len(others):
+                for hit in others[texts.similar(at, others, similarity)]:
+                    if components[hit] != components[at]:
+                        links.append((contents[at], contents[hit]))
+                        components[components == components[hit]] = components[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            links: list = []
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6)]
+            for key, part, content, fp, block, component, shingles in zip(*columns, _sets(batch.column(4))):
+                if (key, part) != now:
+                    if held:
+                        settle(held, links)
+                    now, held = (key, part), []
+                held.append((content, fp, shingles, block, component))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else ((), ()))], names=["a", "b"])
+        links = []
+        if held:
+            settle(held, links)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else ((), ()))], names=["a", "b"])
+
+    return run
+
+
+def _block_places(members: DataFrame) -> DataFrame:
+    """Places (c, rep, key, part, block, component) in which all pairs of a key's members (key, c,
+    rep, size, component) meet that differ in component.
+
+    The largest component of a key needs no comparison with itself, so it is dealt once for each
+    block of the others, and a key of one component has no place at all.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "bytes")).alias("most"), F.count("*").alias("sets"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).filter("sets > 1")
+    blocks = lambda n, size: F.expr(f"greatest(({n}) div {2 * RUN_LIMIT}, ({size}) div {RUN_BYTES}) + 1")
+    split = split.select("key", F.col("most.component").alias("main"), blocks("most.n", "most.bytes").alias("large"), blocks("n - most.n", "bytes - most.bytes").alias("rest"))
+    rows = members.join(split.hint("merge"), "key").withColumn("is_main", F.col("component") == F.col("main"))
+    # Blocks of the rest come first: each of them meets itself and every later block.
+    rows = rows.withColumn("block", F.when(F.col("is_main"), F.col("rest") + F.pmod(F.xxhash64("c"), "large")).otherwise(F.pmod(F.xxhash64("c"), "rest")))
+    last = F.when(F.col("is_main"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("large") - 1)
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    part = F.least("block", "other") * (F.col("rest") + F.col("large")) + F.greatest("block", "other")
+    return met.select("c", "rep", "key", part.alias("part"), "block", "component")
+
+
 def _sets(column: pa.Array) -> np.ndarray:
     """The shingle sets of a binary column, each an array of its own."""
     out = np.empty(len(column), object)
@@ -424,9 +486,8 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
     A fingerprint radius of 3 is far below what such texts differ by, and segment keys for a radius
     that is not would select next to nothing. So candidates share a band of least hashes; the ring
     filter at TEXT_RADIUS and a sketch of CELLS cells prune them, and the shingles of both texts
-    decide. A key of more than RUN_LIMIT texts is compared in
-    parts, then the parts by one text of each set found: a link whose ends lie in two parts counts
-    through those. Texts of the same words meet as one before any
+    decide. A key of more than RUN_LIMIT texts is compared in parts, then the parts by one text of
+    each set found, then all texts that are not in one component. Texts of the same words meet as one before any
     join; null and empty texts are alike. Rows without an id are left out, rows that repeat an
     id are one document. An empty table gives an empty result.
     """
@@ -451,12 +512,14 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
     # Joined by document as well, so that copies of one text are dealt over all partitions.
     owned = [F.col("content") == F.col("c"), F.col("doc_id") == F.col("rep")]
     owner = reps.select(F.col("content").alias("c"), "rep").hint("merge")
-    keys = materialize(written.select("doc_id", "content", "keys").join(owner, owned, "left_semi").select("content", "doc_id", "keys").dropDuplicates(["content", "doc_id"]), "similar-keys")
-    keyed = keys.select(F.explode("keys").alias("key"), "content", F.col("doc_id").alias("rep"))
-    members = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("content").alias("x"), F.bit_xor(F.xxhash64("content")).alias("y"))
+    sized = written.select("doc_id", "content", "keys", F.octet_length("text").cast("long").alias("size"))
+    keys = materialize(sized.join(owner, owned, "left_semi").select("content", "doc_id", "keys", "size").dropDuplicates(["content", "doc_id"]), "similar-keys")
+    keyed = keys.select(F.explode("keys").alias("key"), "content", F.col("doc_id").alias("rep"), "size")
+    members = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor("content").alias("x"), F.bit_xor(F.xxhash64("content")).alias("y"))
     # Keys with the same members have the same pairs: one of them is enough.
-    many = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    met = keyed.join(many.hint("merge"), "key").select("key", F.col("content").alias("c"), "rep", F.expr(f"n div {RUN_LIMIT + 1} + 1").alias("parts"))
+    many = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("key", "bytes")).alias("m")).select("m.*", "n")
+    parts = F.expr(f"greatest(n div {RUN_LIMIT + 1}, bytes div {RUN_BYTES}) + 1").alias("parts")
+    met = keyed.join(many.hint("merge"), "key").select("key", F.col("content").alias("c"), "rep", "size", parts)
     texts = written.select("doc_id", "content", "text").dropDuplicates(["content", "doc_id"])
 
     def measured(places: DataFrame) -> DataFrame:
@@ -475,18 +538,31 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
     first = first.select(*run_columns).repartition("key", "part").sortWithinPartitions("key", "part")
     found = materialize(first.mapInArrow(_similar_of_runs(similarity), compare).distinct(), "similar-links")
     links = found.filter("b is not null").select("a", "b")
-    roots = found.filter("b is null").select(F.col("a").alias("c"), "key").join(reps.select(F.col("content").alias("c"), "rep").hint("merge"), "c")
-    if not roots.isEmpty():
-        rest = measured(roots.select("c", "rep", "key", F.lit(0).cast("long").alias("part"), F.lit(False).alias("again"))).select(*run_columns)
-        links = links.unionByName(rest.repartition("key").sortWithinPartitions("key").mapInArrow(_similar_of_runs(similarity), compare).select("a", "b"))
-    named = (
-        links.join(reps.select(F.col("content").alias("a"), F.col("rep").alias("rep_a")), "a")
-        .join(reps.select(F.col("content").alias("b"), F.col("rep").alias("rep_b")), "b")
-        .select("rep_a", "rep_b")
-    )
+    large = met.filter("parts > 1").drop("parts")
+    roots = found.filter("b is null").select(F.col("a").alias("c"), "key").join(large.hint("merge"), ["key", "c"])
+    dealt = not roots.isEmpty()
+    if dealt:
+        left = roots.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("key", parts)
+        part = F.pmod(F.xxhash64("c", F.lit(1)), "parts").alias("part")
+        rest = measured(roots.join(left.hint("merge"), "key").select("c", "rep", "key", part, F.lit(False).alias("again"))).select(*run_columns)
+        links = links.unionByName(rest.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_similar_of_runs(similarity), compare).select("a", "b"))
+
+    def by_rep(links: DataFrame) -> DataFrame:
+        ends = links.join(reps.select(F.col("content").alias("a"), F.col("rep").alias("rep_a")), "a")
+        return ends.join(reps.select(F.col("content").alias("b"), F.col("rep").alias("rep_b")), "b").select("rep_a", "rep_b")
+
     # Documents of the same words, and one id with several texts, are links of their own.
     mine = written.join(reps, "content").filter("doc_id <> rep").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
-    roots = connected_components(named.unionByName(mine), "rep_a", "rep_b")
+    roots = connected_components(by_rep(links).unionByName(mine), "rep_a", "rep_b")
+    if dealt:
+        named = large.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("key", "c", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        blocks = measured(_block_places(named)).select("key", "part", "content", "fp", "shingles", "block", "component")
+        across = blocks.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_similar_of_blocks(similarity), "a long, b long")
+        across = materialize(across, "similar-across")
+        if not across.isEmpty():
+            known = roots.select(F.col("node").alias("rep_a"), F.col("component").alias("rep_b"))
+            roots = connected_components(known.unionByName(by_rep(across)), "rep_a", "rep_b")
+        release(across)
     ids = written.select("doc_id").distinct()
     placed = materialize(ids.join(roots, ids["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id")), "similar-groups")
     for table in (written, reps, keys, found):

@@ -2,7 +2,7 @@
 
 import random
 
-from test_operators import DOCS, words
+from test_operators import DOCS, brute_close, brute_similarity, words
 
 from sluicework.llm import simhash
 
@@ -34,3 +34,21 @@ def test_long_texts_are_measured_exactly(spark):
     got = groups(spark, texts)
     for i in range(0, len(texts), 2):
         assert (got[i] == got[i + 1]) == (i // 2 % 2 == 1), i
+
+
+def test_large_keys_are_compared_whole(spark, monkeypatch):
+    """Drifting copies, in groups of more than four parts, whose roots differ more than others."""
+    monkeypatch.setattr(simhash, "RUN_LIMIT", 3)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        group = [words(rng, 200, 10**9).split()]
+        for _ in range(13):
+            made = list(rng.choice(group))
+            m = rng.randrange(10, 18)
+            at = rng.randrange(4, 196 - m)
+            made[at : at + m] = words(rng, m, 10**9).split()
+            group.append(made)
+        texts += map(" ".join, group)
+    shares = brute_similarity(texts)
+    assert groups(spark, texts) == brute_close({pair for pair, s in shares.items() if s >= 0.8}, range(len(texts)))
