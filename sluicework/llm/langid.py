@@ -121,9 +121,10 @@ class BackoffModel:
 def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 100_000, max_n: int = 4) -> BackoffModel:
     """Learn from the rows of ``docs`` (text, lang) that have both.
 
-    Every row is counted. The model that workers load keeps the ``max_words`` commonest
-    words and the ``max_grams`` commonest n-grams over all languages, which bounds its size;
-    what falls off is scored by the backoff.
+    Every row is counted. The model that workers load keeps the commonest words and n-grams of
+    each language, ``max_words`` and ``max_grams`` in all, dealt evenly over the languages, and
+    every single character; a unit that is kept has the counts of all languages. What falls off
+    is scored by the backoff.
     """
     rows = docs.filter("text is not null and lang is not null").select("text", "lang")
     words = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -144,17 +145,30 @@ def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 100_000, m
         gram_totals = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
 
         def commonest(table: DataFrame, unit: str, most: int) -> list[tuple[str, str, int]]:
-            # Cut at a sixteenth of a doubling of the count, found from at most some thousand
-            # classes, so that the driver never gets more than ``most`` rows at once.
-            size = F.floor(F.log2("n") * 16).alias("class")
-            least, held = None, 0
-            for r in table.groupBy(size).count().orderBy(F.col("class").desc()).collect():
-                held += r["count"]
-                if held > most:
-                    break
-                least = r["class"]
-            kept = table.select("lang", unit, "n", size).filter(F.col("class") >= least) if least is not None else table.limit(0).select("lang", unit, "n")
-            return sorted(tuple(r)[:3] for r in kept.collect())
+            # Cut per language at a sixteenth of a doubling of the count, found from at most some
+            # thousand classes. Single characters always stay.
+            one = (F.char_length(unit) == 1) if unit == "gram" else F.lit(False)
+            size = F.floor(F.log2("n") * 16)
+            classes: dict[str, list[tuple[int, int]]] = {}
+            for r in table.filter(~one).groupBy("lang", size.alias("class")).count().orderBy(F.col("class").desc()).collect():
+                classes.setdefault(r["lang"], []).append((r["class"], r["count"]))
+            # What a small language leaves of its even share goes to the larger ones.
+            marks, left = [], most
+            for at, lang in enumerate(sorted(classes, key=lambda k: (sum(n for _, n in classes[k]), k))):
+                least, held, share = None, 0, left // (len(classes) - at)
+                for c, n in classes[lang]:
+                    if held + n > share:
+                        break
+                    least, held = c, held + n
+                left -= held
+                if least is not None:
+                    marks.append((lang, least))
+            keep = one
+            for lang, least in marks:
+                keep = keep | ((F.col("lang") == lang) & (size >= least))
+            # A chosen unit keeps the counts of all languages, or a cut one would read as 0.
+            chosen = table.filter(keep).select(unit).distinct()
+            return sorted(tuple(r) for r in table.join(chosen.hint("merge"), unit, "left_semi").select("lang", unit, "n").collect())
 
         top = commonest(words, "word", max_words), commonest(grams, "gram", max_grams)
         grams.unpersist()

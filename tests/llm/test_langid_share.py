@@ -1,0 +1,14 @@
+"""The bounded language model keeps small languages next to large ones."""
+
+from sluicework.llm import langid
+
+
+def test_small_language_keeps_its_units(spark):
+    large = [(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} shared", "big") for i in range(100) for _ in range(20)]
+    small = [("мало слов shared shared", "little")]
+    model = langid.train(spark.createDataFrame(large + small, "text string, lang string"), max_words=20, max_grams=60)
+    assert {"мало", "слов"} <= {*model.words} and len(model.words) <= 20
+    assert model.predict("слово")[0] == "little"
+    at = model.langs.index("little")
+    if "shared" in model.words:
+        assert model.words["shared"][at] > model.words["мало"][at]
