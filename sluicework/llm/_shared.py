@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _open_paths.add(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -47,16 +51,44 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
+#: Paths handed out and not deleted yet.
+_open_paths: set[str] = set()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            delete_path(df.sparkSession, path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is written to scratch inside is deleted at the end, but for what ``keep`` names. Results
+    are lazy, so they must have been written or collected by then."""
+    before = set(_open_paths)
+    try:
+        yield
+    finally:
+        for path in _open_paths - before - _kept_paths:
+            delete_path(spark, path)
+
+
+_kept_paths: set[str] = set()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Let a scratch table outlive the scopes that it was written in."""
+    _kept_paths.add(df._scratch_path)
+    return df
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _open_paths.discard(path)
+    _kept_paths.discard(path)
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -79,20 +111,59 @@ def worker_table(key: str, build: Callable[[], object]) -> object:
 
 def row_map(df: DataFrame, columns: list[str], fn: Callable[..., list], out: T.StructType) -> DataFrame:
     """Append ``out``'s columns to ``df``: ``fn`` gets one Arrow array per name in ``columns``
-    and returns one array per output field. All other columns pass through untouched."""
-    clash = set(out.fieldNames()) & set(df.columns)
-    if clash:
-        raise ValueError(f"the table already has {sorted(clash)}")
-    schema = T.StructType(df.schema.fields + out.fields)
+    and returns one array per output field. All other columns pass through untouched; a column
+    of ``df`` that has the name of one of ``out``'s gives way to it."""
+    made_names = {n.lower() for n in out.fieldNames()}
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in made_names]
+    read = [df.columns.index(c) for c in columns]
+    names = [*(df.columns[i] for i in kept), *out.fieldNames()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = fn(*(batch.column(batch.schema.get_field_index(c)) for c in columns))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *out.fieldNames()])
+            made = fn(*(batch.column(i) for i in read))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], names=names)
             del batch, made
             pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([df.schema.fields[i] for i in kept] + out.fields))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of it with more underscores that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key of a join counts as heavy from this many rows, or one in HEAVY_KEYS of all, on. So there are
+#: never more than HEAVY_KEYS heavy keys, whatever the size of the table.
+HEAVY_ROWS, HEAVY_KEYS = 1_000, 100_000
+
+
+def heavy_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``table``, which has one row for each value of the column ``key`` and in
+    ``count`` how many of the ``total`` rows have that value. ``table`` is read twice, so it
+    should be a table that was written. Column ``count`` is dropped.
+
+    The rows of heavy keys never meet in one task: their part of ``table``, of at most HEAVY_KEYS
+    rows, is broadcast. All others, and null keys, go the way of a sorted shuffle.
+    """
+    limit = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    plain = table.drop(count).hint("merge")
+    if total < limit:
+        return rows.join(plain, key, how)
+    heavy = materialize(table.filter(F.col(count) >= limit).drop(count), "heavy-keys")
+    if heavy.isEmpty():
+        release(heavy)
+        return rows.join(plain, key, how)
+    many = rows.join(F.broadcast(heavy), key)
+    return many.unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(plain, key, how))
+
+
+def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI as workers reach it, and the path in it."""
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
 def binary_texts(column: pa.Array) -> Iterator[bytes]:
@@ -109,6 +180,19 @@ def plain_texts(column: pa.Array) -> Iterator[str]:
         yield value.as_py() or ""
 
 
+def text_groups(column: pa.Array, chars: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts in order, in groups of about ``chars`` characters."""
+    group, size = [], 0
+    for text in plain_texts(column):
+        group.append(text)
+        size += len(text)
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z only. Pure ASCII takes the byte-wise path of ``lower``."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
