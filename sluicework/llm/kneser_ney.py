@@ -2,11 +2,13 @@
 
 The model is trained on trusted texts: n-grams of ORDER characters are counted over all of
 them, lower orders take continuation counts (how many different characters precede), and each
-order's probabilities come from joins of count tables sharded by context and by suffix. A
-document's perplexity is compared with a quantile of the trusted documents of its language.
+order's probabilities come from joins of count tables sharded by context and by suffix. The
+model stays in shards, one sorted table an order; the n-grams of each block of documents are
+joined with the shards that hold them, the same way at every size. A document's perplexity is
+compared with a quantile of the trusted documents of its language.
 
-An n-gram is one long: 16 bits a character, so contexts and suffixes are shifts and masks.
-Characters beyond the basic plane share one code; a text begins with ORDER - 1 marks.
+An n-gram is one long: 16 bits a character, so contexts and suffixes are shifts and masks. A
+character beyond the basic plane is two units, as in UTF-16; a text begins with ORDER - 1 marks.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,34 +24,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialize, plain_texts, row_map, worker_table
+from ._shared import materialize, row_map, text_groups, worker_table
+from .shards import HELD_ROWS, ShardList, Shards, write_shards
 
 ORDER = 4
 BITS = 16
-START, BEYOND = 0x0002, 0xFFFD
-#: Model rows that workers may load. A larger model is joined shard by shard instead.
-LOCAL_ROWS = 4_000_000
+START = 0x0002
 _COMPACT = 4_000_000
 #: One in this many trusted documents is kept out of the model and sets the thresholds.
 CALIBRATION = 5
 
 
 def _codes(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(raw > 0xFFFF, BEYOND, raw).astype(np.uint64)
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
 
 
 def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The highest-order n-gram that ends at each character of each text, and the number of
-    characters of each text."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    pads = ORDER - 1
+    """The highest-order n-gram that ends at each unit of each text, and the number of units of
+    each text."""
+    coded, pads = [_codes(t) for t in texts], ORDER - 1
+    sizes = np.fromiter(map(len, coded), np.int64, len(texts))
     line = np.full(int(sizes.sum()) + pads * len(texts), START, np.uint64)
     real = np.ones(len(line), bool)
     at = 0
-    for text, n in zip(texts, sizes.tolist()):
+    for units, n in zip(coded, sizes.tolist()):
         real[at : at + pads] = False
-        line[at + pads : at + pads + n] = _codes(text)
+        line[at + pads : at + pads + n] = units
         at += pads + n
     ends = np.flatnonzero(real)
     keys = np.zeros(len(ends), np.uint64)
@@ -57,22 +58,10 @@ def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys, sizes
 
 
-def _groups(column: pa.Array, chars: int = 2_000_000) -> Iterator[list[str]]:
-    group, size = [], 0
-    for text in plain_texts(column):
-        group.append(text)
-        size += len(text)
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts, held = [], [], 0
     for batch in batches:
-        for group in _groups(batch.column(0)):
+        for group in text_groups(batch.column(0)):
             k, n = np.unique(gram_keys(group)[0], return_counts=True)
             keys.append(k)
             counts.append(n)
@@ -146,131 +135,64 @@ def train(texts: DataFrame) -> DataFrame:
         parts.append(lower.select(F.lit(k).alias("level"), "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff")))
         unseen = F.lit(-math.log(size)) if k == 1 else F.lit(None).cast("double")
         parts.append(contexts.select(F.lit(k - 1).alias("level"), F.col("ctx").alias("gram"), unseen.cast("double").alias("logp"), F.log("gamma").alias("backoff")))
-    model = parts[0]
-    for part in parts[1:]:
-        model = model.unionByName(part)
+    model = reduce(DataFrame.unionByName, parts)
     return materialize(model.groupBy("level", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "kn-model")
 
 
-class Table:
-    """Open addressing over 64-bit keys, looked up for whole arrays at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
-        size = 1 << self.bits
-        self.keys, self.used = np.zeros(size, np.uint64), np.zeros(size, bool)
-        self.values = np.zeros(size)
-        left, at = np.arange(len(keys)), self._at(keys)
-        while len(left):
-            spot = at[left]
-            free = ~self.used[spot]
-            first = np.zeros(len(left), bool)
-            first[np.unique(spot, return_index=True)[1]] = True
-            take = left[free & first]
-            self.used[at[take]], self.keys[at[take]], self.values[at[take]] = True, keys[take], values[take]
-            left = left[~(free & first)]
-            at[left] = (at[left] + 1) & (size - 1)
-
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The values, and whether each key is in the table."""
-        out, found = np.zeros(len(keys)), np.zeros(len(keys), bool)
-        at = self._at(keys)
-        here = self.used[at] & (self.keys[at] == keys)
-        out[here], found[here] = self.values[at[here]], True
-        left = np.flatnonzero(self.used[at] & ~here)
-        at = at[left]
-        while len(left):
-            at = (at + 1) & (len(self.keys) - 1)
-            here = self.used[at] & (self.keys[at] == keys[left])
-            out[left[here]], found[left[here]] = self.values[at[here]], True
-            more = self.used[at] & ~here
-            left, at = left[more], at[more]
-        return out, found
+def sharded(model: DataFrame, held_rows: int = HELD_ROWS) -> dict[int, ShardList]:
+    """The model as one sorted table of shards for each level from 1 on, and level 0."""
+    level = lambda k: model.filter(F.col("level") == k).select(F.col("gram").alias("key"), "logp", "backoff")
+    return {k: write_shards(level(k), ["logp", "backoff"], f"kn-level-{k}", held_rows=held_rows if k == ORDER else min(held_rows, HELD_ROWS)) for k in range(ORDER + 1)}
 
 
 class Scorer:
-    """The model in a worker."""
+    """A worker's view of the model."""
 
-    def __init__(self, level: np.ndarray, gram: np.ndarray, logp: np.ndarray, backoff: np.ndarray):
-        gram = gram.view(np.uint64)
-        pick = lambda k, v: Table(gram[(level == k) & ~np.isnan(v)], v[(level == k) & ~np.isnan(v)])
-        self.probabilities = {k: pick(k, logp) for k in range(1, ORDER + 1)}
-        self.backoffs = {k: pick(k, backoff) for k in range(1, ORDER)}
-        root = np.flatnonzero(level == 0)
-        self.unseen = float(logp[root[0]] + backoff[root[0]]) if len(root) else 0.0
+    def __init__(self, levels: dict[int, ShardList]):
+        self.levels = {k: Shards(v) for k, v in levels.items()}
+        root = self.levels[0].get(np.zeros(1, np.int64))
+        self.unseen = float(np.nansum(root[0])) if root[1].all() else 0.0
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         out, left = np.zeros(len(keys)), np.arange(len(keys))
         for k in range(ORDER, 0, -1):
             grams = keys[left] & np.uint64((1 << (BITS * k)) - 1)
-            value, found = self.probabilities[k].get(grams)
-            out[left[found]] += value[found]
-            left, grams = left[~found], grams[~found]
+            value = self.levels[k].get(grams)[0][:, 0]
+            seen = ~np.isnan(value)
+            out[left[seen]] += value[seen]
+            left, grams = left[~seen], grams[~seen]
             if not len(left):
                 break
-            out[left] += self.backoffs[k - 1].get(grams >> np.uint64(BITS))[0] if k > 1 else self.unseen
+            # The mass that the context leaves; one never met leaves all of it.
+            out[left] += np.nan_to_num(self.levels[k - 1].get(grams >> np.uint64(BITS))[0][:, 1]) if k > 1 else self.unseen
         return out
 
 
-def with_log_likelihood(docs: DataFrame, model: DataFrame, text: str = "text", local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Append loglik (the sum over the whole text) and n_symbols (its characters) to each row.
+def with_log_likelihood(docs: DataFrame, model: DataFrame, text: str = "text", held_rows: int = HELD_ROWS) -> DataFrame:
+    """Append loglik (the sum over the whole text) and n_symbols (its UTF-16 units) to each row; a
+    null or empty text has 0 and 0. Columns of these names give way.
 
-    A model of at most ``local_rows`` rows is loaded by the workers. A larger one stays in its
-    shards: the n-grams of the documents are counted per document and joined with it level by
-    level. Both give the same sums.
+    The n-grams of each group of texts are joined with the shards that hold them. A worker keeps
+    the shards used last, up to ``held_rows`` rows of the highest order; a larger model is streamed.
     """
-    spark = docs.sparkSession
-    if model.count() <= local_rows:
-        rows = model.toPandas()
-        key = uuid.uuid4().hex
-        spread = spark.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("level", "gram", "logp", "backoff")))
-
-        def run(column: pa.Array) -> list[pa.Array]:
-            scorer = worker_table(f"model {key}", lambda: Scorer(*spread.value))
-            sums, sizes = [], []
-            for group in _groups(column):
-                keys, n = gram_keys(group)
-                p = np.concatenate([[0.0], np.cumsum(scorer.log_probabilities(keys))])
-                ends = np.cumsum(n)
-                sums.append(p[ends] - p[ends - n])
-                sizes.append(n)
-            return [pa.array(np.concatenate(sums) if sums else [], pa.float64()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())]
-
-        return row_map(docs, [text], run, T.StructType([T.StructField("loglik", T.DoubleType()), T.StructField("n_symbols", T.LongType())]))
-    return _sharded(docs, model, text)
-
-
-def _sharded(docs: DataFrame, model: DataFrame, text: str) -> DataFrame:
-    """The same by joins. Rows are named by the hashes of all that they hold."""
-    named = docs.withColumn("_row", F.struct(*(F.xxhash64(F.lit(s), F.coalesce(F.to_json(F.struct(*docs.columns)), F.lit(""))).alias(f"r{s}") for s in (1, 2))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, value in zip(batch.column(0).to_pylist(), plain_texts(batch.column(1))):
-                keys, n = np.unique(gram_keys([value])[0], return_counts=True)
-                size = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([row["r1"]] * size, pa.int64()), pa.array([row["r2"]] * size, pa.int64()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["r1", "r2", "gram", "n"])
-
-    events = named.select("_row", text).dropDuplicates(["_row"]).mapInArrow(count, "r1 long, r2 long, gram long, n long")
-    asked = events.select("gram").distinct().withColumn("lp", F.lit(0.0)).withColumn("open", F.lit(True))
-    for k in range(ORDER, 0, -1):
-        at = model.filter(F.col("level") == k).select(F.col("gram").alias("g"), "logp").filter("logp is not null")
-        part = F.col("gram") if k == ORDER else F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1).cast("long"))
-        asked = asked.withColumn("part", part).join(at, F.col("part") == F.col("g"), "left")
-        now = F.col("open") & F.col("logp").isNotNull()
-        asked = asked.select("gram", F.when(now, F.col("lp") + F.col("logp")).otherwise(F.col("lp")).alias("lp"), (F.col("open") & F.col("logp").isNull()).alias("open"), F.shiftrightunsigned("part", BITS).alias("ctx"))
-        down = model.filter(F.col("level") == k - 1).select(F.col("gram").alias("g"), (F.col("backoff") + (F.col("logp") if k == 1 else F.lit(0.0))).alias("b")).filter("b is not null")
-        asked = asked.join(down, F.col("ctx") == F.col("g"), "left").select("gram", F.when(F.col("open"), F.col("lp") + F.coalesce("b", F.lit(0.0))).otherwise(F.col("lp")).alias("lp"), "open")
-    sums = events.join(asked.select("gram", "lp"), "gram").groupBy("r1", "r2").agg(F.sum(F.col("lp") * F.col("n")).alias("loglik"), F.sum("n").alias("n_symbols"))
-    joined = named.join(sums, (F.col("_row.r1") == sums["r1"]) & (F.col("_row.r2") == sums["r2"]), "left")
-    return joined.select(*docs.columns, F.coalesce("loglik", F.lit(0.0)).alias("loglik"), F.coalesce("n_symbols", F.lit(0).cast("long")).alias("n_symbols"))
-
-
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, least_trusted: int = 50, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    levels = sharded(model, held_rows)
+    token = uuid.uuid4().hex
+
+    def run(column: pa.Array) -> list[pa.Array]:
+        scorer = worker_table(f"model {token}", lambda: Scorer(levels))
+        sums, sizes = [], []
+        for group in text_groups(column):
+            keys, n = gram_keys(group)
+            p = np.concatenate([[0.0], np.cumsum(scorer.log_probabilities(keys))])
+            ends = np.cumsum(n)
+            sums.append(p[ends] - p[ends - n])
+            sizes.append(n)
+        return [pa.array(np.concatenate(sums) if sums else [], pa.float64()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())]
+
+    return row_map(docs, [text], run, T.StructType([T.StructField("loglik", T.DoubleType()), T.StructField("n_symbols", T.LongType())]))
+
+
+def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, least_trusted: int = 50, held_rows: int = HELD_ROWS) -> DataFrame:
     """Perplexity and decision for every row of ``docs`` (doc_id, text, lang).
 
     ``trusted`` (doc_id, text) trains the model, but for the one in CALIBRATION of them, by
@@ -278,12 +200,13 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, least_
     ``quantile`` of those documents of its language; languages with fewer than
     ``least_trusted`` of them, and null languages, take the quantile over all. Returns
     (doc_id, lang, n_symbols, perplexity, threshold, keep); a null or empty text has no
-    perplexity and is not kept; without trusted texts nothing is.
+    perplexity and is not kept; without trusted texts nothing is. Repeated rows are each judged;
+    other columns are ignored; an empty table gives an empty result.
     """
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0
     model = train(trusted.filter(~aside))
     ids = trusted.filter(aside).select("doc_id").distinct()
-    scored = with_log_likelihood(docs.select("doc_id", "text", "lang"), model, local_rows=local_rows).select(
+    scored = with_log_likelihood(docs.select("doc_id", "text", "lang"), model, held_rows=held_rows).select(
         "doc_id", "lang", "n_symbols", F.when((F.col("n_symbols") > 0) & (F.col("loglik") < 0), F.exp(-F.col("loglik") / F.col("n_symbols"))).alias("perplexity")
     )
     scored = materialize(scored, "kn-scored")
