@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import plain_texts, row_map
+from ._shared import materialize, plain_texts, release, row_map, text_groups, worker_table
+from .shards import HELD_ROWS, ShardList, Shards, write_shards
 
 UNDETERMINED = "und"
 _RUN = re.compile(r"[^\W\d_]+")
@@ -46,144 +49,160 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(flat())
 
 
+@dataclass
 class BackoffModel:
-    """Per-language log frequencies of known words and of character n-grams.
+    """Per-language counts of words and of character n-grams, in shards.
 
-    A known word scores by its own frequencies. Any other word, marked at both ends, scores by
+    A known word scores by its own log frequencies. Any other word, marked at both ends, scores by
     the mean log frequency of its n-grams of the greatest length of which one is known; a word
-    of which not even a single character is known counts for no language.
+    of which not even a single character is known counts for no language. Units are keyed by
+    their 64-bit hashes.
     """
 
-    def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]], totals: dict[str, int], gram_totals: dict[tuple[str, int], int], max_n: int):
-        self.langs = sorted(totals)
-        self.max_n = max_n
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        self._at: dict[str, int] | None = None
-
-        def table(rows, total, size) -> dict[str, tuple[float, ...]]:
-            raw: dict[str, list[float]] = {}
-            for lang, unit, n in rows:
-                raw.setdefault(unit, [0.0] * len(self.langs))[at[lang]] += n
-            return {u: tuple(math.log((c + SMOOTHING) / (total(u, lang) + SMOOTHING * size)) for c, lang in zip(counts, self.langs)) for u, counts in raw.items()}
-
-        self.words = table(words, lambda _, lang: totals[lang], max(1, len({w for _, w, _ in words})))
-        self.grams = table(grams, lambda u, lang: gram_totals.get((lang, len(u)), 0), max(1, len({g for _, g, _ in grams})))
-
-    def word(self, word: str) -> tuple[float, ...] | None:
-        """The scores of one word, or None if nothing of it is known."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        marked = f"^{word}$"
-        for n in range(min(self.max_n, len(marked)), 0, -1):
-            found = [v for i in range(len(marked) - n + 1) if (n > 1 or 0 < i < len(marked) - 1) and (v := self.grams.get(marked[i : i + n]))]
-            if found:
-                return tuple(sum(c) / len(found) for c in zip(*found))
-        return None
-
-    def _rows(self, words: list[str]) -> list[int]:
-        """Rows of the score matrix, which grows by the words met, within a bound. Row 0 is
-        all zero: words that count for no language."""
-        if self._at is None or len(self._at) > len(self.words) + _MEMO_WORDS:
-            self._at = {w: i + 1 for i, w in enumerate(self.words)}
-            self._matrix = np.zeros((len(self.words) + _MEMO_WORDS + 1, len(self.langs)))
-            self._matrix[1 : len(self.words) + 1] = list(self.words.values()) or np.empty((0, len(self.langs)))
-            self._next = len(self.words) + 1
-        out = list(map(self._at.get, words))
-        if None in out:
-            for i, row in enumerate(out):
-                if row is None:
-                    scores = self.word(words[i])
-                    if scores is None:
-                        out[i] = self._at[words[i]] = 0
-                        continue
-                    if self._next == len(self._matrix):
-                        self._matrix = np.vstack([self._matrix, np.zeros((max(len(words), 1024), len(self.langs)))])
-                    self._matrix[self._next] = scores
-                    out[i] = self._at[words[i]] = self._next
-                    self._next += 1
+    langs: list[str]
+    totals: list[int]
+    #: By length of the n-gram, the number of them in each language.
+    gram_totals: dict[int, list[int]]
+    words: ShardList
+    grams: ShardList
+    max_n: int
+
+
+def unit_keys(units: list[str]) -> np.ndarray:
+    """The keys of words or n-grams, as Spark's xxhash64 gives them."""
+    return np.fromiter((xxhash.xxh64_intdigest(u.encode(), 42) for u in units), np.uint64, len(units)).view(np.int64)
+
+
+class Scorer:
+    """A worker's view of a model, with the words it met, within a bound."""
+
+    def __init__(self, model: BackoffModel):
+        self.model, self.langs = model, model.langs
+        self.words, self.grams = Shards(model.words), Shards(model.grams)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Row 0 is all zero: words that count for no language."""
+        self._at: dict[str, int] = {}
+        self._matrix = np.zeros((1, len(self.langs)))
+
+    def _logs(self, counts: np.ndarray, totals: np.ndarray, size: int) -> np.ndarray:
+        return np.log((counts + SMOOTHING) / (totals + SMOOTHING * max(1, size)))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """One row a word; a word of which nothing is known has zeros."""
+        out = np.zeros((len(words), len(self.langs)))
+        counts, known = self.words.get(unit_keys(words))
+        out[known] = self._logs(counts[known], np.array(self.model.totals, float), self.model.words.n_rows)
+        left = np.flatnonzero(~known)
+        for n in range(self.model.max_n, 0, -1):
+            if not len(left):
+                break
+            place, units = [], []
+            for k, at in enumerate(left.tolist()):
+                marked = f"^{words[at]}$"
+                found = [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(words[at])
+                place += [k] * len(found)
+                units += found
+            if not units:
+                continue
+            different = {u: i for i, u in enumerate(dict.fromkeys(units))}
+            counts, known = self.grams.get(unit_keys(list(different)))
+            row = np.fromiter(map(different.__getitem__, units), np.int64, len(units))
+            place = np.array(place)[known[row]]
+            logs = self._logs(np.nan_to_num(counts), np.array(self.model.gram_totals.get(n, [0] * len(self.langs)), float), self.model.grams.n_rows)[row[known[row]]]
+            times = np.bincount(place, minlength=len(left))
+            hit = times > 0
+            sums = np.stack([np.bincount(place, logs[:, j], len(left)) for j in range(len(self.langs))], axis=1)
+            out[left[hit]] = sums[hit] / times[hit][:, None]
+            left = left[~hit]
         return out
 
-    def predict(self, text: str) -> tuple[str, float]:
-        """The likeliest language and its share of the likelihood, flat priors. ``und`` and 0
-        for a text without a letter or a model without a language; ties go to the first
-        language by name."""
-        counts = Counter(_RUN.findall(text.lower()))
-        words = [w for w in counts if w.isalpha() or any(map(str.isalpha, w))]
-        if not words or not self.langs:
-            return UNDETERMINED, 0.0
-        rows = self._rows(words)
-        times = np.fromiter(map(counts.__getitem__, words), float, len(words))
-        total = times @ self._matrix[rows]
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
-
-
-def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 100_000, max_n: int = 4) -> BackoffModel:
-    """Learn from the rows of ``docs`` (text, lang) that have both.
-
-    Every row is counted. The model that workers load keeps the commonest words and n-grams of
-    each language, ``max_words`` and ``max_grams`` in all, dealt evenly over the languages, and
-    every single character; a unit that is kept has the counts of all languages. What falls off
-    is scored by the backoff.
+    def _learn(self, words: list[str]) -> None:
+        made = self.scores(words)
+        known = made.any(axis=1)
+        places = np.zeros(len(words), np.int64)
+        places[known] = len(self._matrix) + np.arange(int(known.sum()))
+        self._at.update(zip(words, places.tolist()))
+        self._matrix = np.vstack([self._matrix, made[known]])
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its share of the likelihood, flat priors. ``und``
+        and 0 for a text without a letter or a model without a language; ties go to the
+        first language by name."""
+        counted = [Counter(_RUN.findall(t.lower())) for t in texts]
+        words = [[w for w in c if w.isalpha() or any(map(str.isalpha, w))] for c in counted]
+        if not self.langs:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        if len(self._at) > _MEMO_WORDS:
+            self._forget()
+        if new := list({w for some in words for w in some if w not in self._at}):
+            self._learn(new)
+        out = []
+        for some, counts in zip(words, counted):
+            if not some:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            times = np.fromiter(map(counts.__getitem__, some), float, len(some))
+            total = times @ self._matrix[list(map(self._at.__getitem__, some))]
+            best = int(np.argmax(total))
+            out.append((self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())))
+        return out
+
+
+def train(docs: DataFrame, max_rows: int = 1_000_000, max_n: int = 4, held_rows: int = HELD_ROWS) -> BackoffModel:
+    """Learn from the rows of ``docs`` (text, lang) that have both; repeated rows each count.
+
+    The fit takes a sample of about ``max_rows`` labelled rows, chosen by hash, or all rows if there
+    are fewer. Every word of those rows, whole texts, and every n-gram of its distinct words is
+    counted and kept: the model is a table in shards, of which a worker holds ``held_rows`` rows.
     """
-    rows = docs.filter("text is not null and lang is not null").select("text", "lang")
-    words = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.persist()
-    try:
-        totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        marked = F.concat(F.lit("^"), "word", F.lit("$"))
-        starts = F.sequence(F.lit(1), F.greatest(F.char_length("marked") - F.col("size") + 1, F.lit(1)))
-        grams = (
-            words.select("lang", marked.alias("marked"), "n")
-            .withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(max_n))))
-            .filter(F.col("size") <= F.char_length("marked"))
-            .select("lang", "n", "size", F.explode(F.transform(starts, lambda i: F.substr("marked", i, F.col("size")))).alias("gram"))
-            .filter(~((F.col("size") == 1) & F.col("gram").isin("^", "$")))
-            .groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-        )
-        grams = grams.persist()
-        gram_totals = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-
-        def commonest(table: DataFrame, unit: str, most: int) -> list[tuple[str, str, int]]:
-            # Cut per language at a sixteenth of a doubling of the count, found from at most some
-            # thousand classes. Single characters always stay.
-            one = (F.char_length(unit) == 1) if unit == "gram" else F.lit(False)
-            size = F.floor(F.log2("n") * 16)
-            classes: dict[str, list[tuple[int, int]]] = {}
-            for r in table.filter(~one).groupBy("lang", size.alias("class")).count().orderBy(F.col("class").desc()).collect():
-                classes.setdefault(r["lang"], []).append((r["class"], r["count"]))
-            # What a small language leaves of its even share goes to the larger ones.
-            marks, left = [], most
-            for at, lang in enumerate(sorted(classes, key=lambda k: (sum(n for _, n in classes[k]), k))):
-                least, held, share = None, 0, left // (len(classes) - at)
-                for c, n in classes[lang]:
-                    if held + n > share:
-                        break
-                    least, held = c, held + n
-                left -= held
-                if least is not None:
-                    marks.append((lang, least))
-            keep = one
-            for lang, least in marks:
-                keep = keep | ((F.col("lang") == lang) & (size >= least))
-            # A chosen unit keeps the counts of all languages, or a cut one would read as 0.
-            chosen = table.filter(keep).select(unit).distinct()
-            return sorted(tuple(r) for r in table.join(chosen.hint("merge"), unit, "left_semi").select("lang", unit, "n").collect())
-
-        top = commonest(words, "word", max_words), commonest(grams, "gram", max_grams)
-        grams.unpersist()
-    finally:
-        words.unpersist()
-    return BackoffModel(*top, totals, gram_totals, max_n)
+    rows = docs.filter("lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
+    total = rows.count()
+    if total > max_rows:
+        rows = rows.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000_000)) < int(1_000_000_000 * max_rows / total))
+    rows = rows.filter("text is not null")
+    words = materialize(rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+    by_lang = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(by_lang)
+    marked = F.concat(F.lit("^"), "word", F.lit("$"))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("marked") - F.col("size") + 1, F.lit(1)))
+    grams = materialize(
+        words.select("lang", marked.alias("marked"), "n")
+        .withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(max_n))))
+        .filter(F.col("size") <= F.char_length("marked"))
+        .select("lang", "n", "size", F.explode(F.transform(starts, lambda i: F.substr("marked", i, F.col("size")))).alias("gram"))
+        .filter(~((F.col("size") == 1) & F.col("gram").isin("^", "$")))
+        .groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")),
+        "langid-grams",
+    )
+    gram_totals: dict[int, list[int]] = {}
+    for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
+        gram_totals.setdefault(r["size"], [0] * len(langs))[langs.index(r["lang"])] = r["n"]
+
+    def table(counted: DataFrame, unit: str, label: str) -> ShardList:
+        names = [f"n{i}" for i in range(len(langs))]
+        counts = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).cast("double").alias(n) for lang, n in zip(langs, names)]
+        key = F.xxhash64(unit).alias("key")
+        wide = counted.groupBy(key).agg(*counts) if counts else counted.select(key)
+        return write_shards(wide, names, label, held_rows=held_rows)
+
+    made = BackoffModel(langs, [by_lang[k] for k in langs], gram_totals, table(words, "word", "langid-word-shards"), table(grams, "gram", "langid-gram-shards"), max_n)
+    release(words, grams)
+    return made
 
 
 def identify(docs: DataFrame, model: BackoffModel, text: str = "text") -> DataFrame:
     """Append lang_pred and score (0 to 1) to every row. Only the text is looked at, the
-    whole of it; a null or empty text, or one without a letter, gives ``und`` and 0."""
-    spread = docs.sparkSession.sparkContext.broadcast(model)
+    whole of it; a null or empty text, or one without a letter, gives ``und`` and 0. Columns of
+    these names give way; other columns pass through."""
+    token = uuid.uuid4().hex
 
     def run(column: pa.Array) -> list[pa.Array]:
-        made = [spread.value.predict(t) for t in plain_texts(column)]
+        scorer = worker_table(f"languages {token}", lambda: Scorer(model))
+        made: list[tuple[str, float]] = []
+        for group in text_groups(column):
+            made += scorer.predict(group)
         return [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
 
     return row_map(docs, [text], run, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
