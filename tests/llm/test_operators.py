@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sluicework.llm import chat, decontaminate, kneser_ney, langid, line_dedup, mtree, packing, simhash, token_store, toxicity
+from sluicework.llm import chat, decontaminate, kneser_ney, langid, line_dedup, mtree, packing, shards, simhash, token_store, toxicity
 from sluicework.llm.components import connected_components
 from sluicework.llm.queries import tokenizer_path
 from sluicework.llm.token_ids import ChunkEncoder
@@ -212,20 +212,71 @@ def test_reply_trees(spark):
 
 # --- language ----------------------------------------------------------------------------
 
-def test_language(spark):
+def brute_languages(rows, max_n=4):
+    """The predictor of (text, lang) rows by plain counting."""
+    langs = sorted({lang for text, lang in rows if text is not None and lang is not None and langid.words_of(text)})
+    known, grams = {k: Counter() for k in langs}, {k: Counter() for k in langs}
+    for text, lang in rows:
+        if lang in known:
+            known[lang].update(langid.words_of(text or ""))
+    for k in langs:
+        for w, n in known[k].items():
+            m = f"^{w}$"
+            for size in range(1, max_n + 1):
+                for i in range(len(m) - size + 1):
+                    if m[i : i + size] not in ("^", "$"):
+                        grams[k][m[i : i + size]] += n
+    all_words, all_grams = set().union(*known.values()), set().union(*grams.values())
+    totals = {k: sum(known[k].values()) for k in langs}
+    sizes = {(k, n): sum(c for g, c in grams[k].items() if len(g) == n) for k in langs for n in range(1, max_n + 1)}
+
+    def score(word):
+        if word in all_words:
+            return [np.log((known[k][word] + 0.5) / (totals[k] + 0.5 * len(all_words))) for k in langs]
+        m = f"^{word}$"
+        for n in range(max_n, 0, -1):
+            found = [g for g in ([m[i : i + n] for i in range(len(m) - n + 1)] if n > 1 else word) if g in all_grams]
+            if found:
+                return [np.mean([np.log((grams[k][g] + 0.5) / (sizes[k, n] + 0.5 * len(all_grams))) for g in found]) for k in langs]
+        return [0.0] * len(langs)
+
+    def predict(text):
+        w = langid.words_of(text or "")
+        if not w or not langs:
+            return "und", 0.0
+        total = np.sum([score(x) for x in w], axis=0)
+        best = int(np.argmax(total))
+        return langs[best], float(1 / np.exp(total - total[best]).sum())
+
+    return predict
+
+
+@pytest.mark.parametrize("held", [shards.HELD_ROWS, 40])
+def test_language(spark, monkeypatch, held):
+    """Whole models and models of many shards, of which a worker holds one, against plain counting."""
+    if held == 40:
+        monkeypatch.setattr(shards, "SHARD_ROWS", 25)
     rng = random.Random(4)
     make = lambda syll, n: " ".join("".join(rng.choice(syll) for _ in range(rng.randrange(1, 4))) for _ in range(n))
     kinds = {"aa": ["the", "ing", "er"], "bb": ["éau", "oi", "ç"], "cc": ["sch", "ü", "ein"]}
-    train = spark.createDataFrame([(make(s, 60), k) for k, s in kinds.items() for _ in range(10)] + [(None, "aa"), ("x", None)], "text string, lang string")
-    model = langid.train(train)
-    for k, s in kinds.items():
-        assert model.predict(make(s, 30))[0] == k
-    got = langid.identify(docs(spark, ODD).withColumnRenamed("lang", "extra"), model).collect()
-    assert all(0 <= r["score"] <= 1 and r["lang_pred"] in {*kinds, "und"} for r in got)
-    assert [r["lang_pred"] for r in got if r["text"] in (None, "", "12 34 ½")] == ["und"] * 3
-    assert langid.train(train.limit(0)).predict("text") == ("und", 0.0)
-    few = langid.train(train, max_words=5, max_grams=20)
-    assert len({*few.words}) <= 5 and few.predict(make(kinds["cc"], 40))[0] == "cc"
+    rows = [(make(s, 60), k) for k, s in kinds.items() for _ in range(10)] + [("мало слов shared", "small"), ("мало слов shared", "small"), (None, "aa"), ("x", None), ("", "aa"), ("12", "empty")]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.train(table, held_rows=held)
+    predict = brute_languages(rows)
+    probes = [make(s, 30) for s in kinds.values()] + ["слово", "thq zzz", "Ω ω"] + ODD
+    got = {r["doc_id"]: r for r in langid.identify(docs(spark, probes).withColumnsRenamed({"lang": "score"}), model).collect()}
+    for i, t in enumerate(probes):
+        lang, share = predict(t)
+        assert (got[i]["lang_pred"], round(got[i]["score"], 6)) == (lang, round(share, 6)), t
+    assert [got[i]["lang_pred"] for i in range(4)] == ["aa", "bb", "cc", "small"]
+    empty = langid.identify(docs(spark, ["text"]), langid.train(table.limit(0))).first()
+    assert (empty["lang_pred"], empty["score"]) == ("und", 0.0)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(f"word{i} same", "ab"[i % 2]) for i in range(4000)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), max_rows=400)
+    assert 600 < sum(model.totals) < 1000
 
 
 # --- tokens ------------------------------------------------------------------------------
@@ -234,7 +285,6 @@ def test_chunks_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
     mine = ChunkEncoder(tokenizer_path(), most_chunks=50)
     rng = random.Random(5)
     letters = ["a", "B", "é", "É", "́", "̌", "J", "Σ", "σ", "İ", ".", ",", "..", "!", "'s", "'", "1", "½", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "<|endoftext|>", "日", "𝔘", "»", "don't", "ǰ"]
@@ -378,22 +428,33 @@ def test_top_k(spark, monkeypatch, crowd):
     assert mtree.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE_VECTORS", 3)
+    big = [2.0**k for k in (16, 25, 40, 56, 60)]
+    rows = [(0, [1.0, 1.0]), (1, [70_000.0, 1.0]), (2, [2.0, 2.0]), (3, [70_000.0, 1.0]), (20, [-1.0, 3.0])] + [(100 + i, [b, float(i)]) for i, b in enumerate(big)] + [(40, [2.0**40, -1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in mtree.top_k(table, table.filter("vec_id % 20 = 0"), 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ends = lambda n: max(-(2**63), min(2**63 - 1, n))
+    whole = {i: [ends(int(np.floor(64 * x))) for x in v] for i, v in rows}
+    for q in (0, 20, 40, 100):
+        want = sorted((-ends(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:4]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def test_bounds_save_distances():
     rng = np.random.default_rng(12)
     centers = rng.normal(size=(20, 3)) * 1000
     tree = mtree.MTree(np.arange(4000), np.floor(centers[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 3))))
-    plain, looked = tree.vectors, []
-
-    class Watched:
-        def __getitem__(self, rows):
-            looked.append(len(rows))
-            return plain[rows]
-
-    tree.vectors = Watched()
-    for q in plain[:20]:
-        want = sorted((-int(plain[i] @ q), i) for i in range(4000))[:5]
-        assert [(-s, i) for s, i in tree.search(q, 5, None)] == want
-    assert sum(looked) < 20 * 4000 / 2
+    for q in range(20):
+        want = sorted((-int(tree.vectors[i] @ tree.vectors[q]), i) for i in range(4000))[:5]
+        _, ids, scores = tree.search(tree.vectors[q : q + 1], 5, np.array([-1])).found()
+        assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist())] == want
+    assert tree.computed < 20 * 4000 / 2
+    # Floors that another tree set keep all that reaches them.
+    _, ids, scores = tree.search(tree.vectors[:1], 5, np.array([-1]), np.array([float(-want[2][0])])).found()
+    assert (scores >= -want[2][0]).all() or len(scores) == 0
 
 
 # --- toxicity ----------------------------------------------------------------------------
@@ -404,7 +465,8 @@ def test_grammar():
     assert aimed > plain > told > 0 and denied < plain
     assert g.evidence("not one two three four fool") == plain  # out of scope
     assert g.evidence("said it. fool") == plain  # another clause
-    assert g.evidence("blorxyz") == 2.0 and g.evidence("a kill b") == 0 and g.evidence("kill you all") == 0 and g.evidence("you kill") > 0
+    assert g.evidence("blorxyz") == 2.0 and g.evidence("a kill b") == 0 and g.evidence("kill you all") == 0
+    assert all(g.evidence(t) > 0 for t in ("you kill", "he kills them", "er tötet", "il frappera"))
     assert g.evidence("") == 0 and all(0 <= g.score(t or "") <= 1 for t in ODD)
 
 
@@ -467,16 +529,47 @@ def test_contamination(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
-def test_multi_index_is_complete():
+def test_multi_index_is_complete_and_selects():
     rng = np.random.default_rng(15)
-    size = decontaminate._Size([(i, rng.integers(0, 2**63, 9).astype(np.uint64)) for i in range(20)])
+    prints = rng.integers(0, 2**64, (3000, 2), np.uint64)
+    sizes = rng.integers(9, 11, 3000)
+    index = decontaminate.MultiIndex(sizes, prints)
     probes = []
-    for f in size.fingerprints:
-        for n in (0, 10, 20):
-            probes.append(f ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64)) if n else f)
-    probes = np.array(probes, np.uint64)
-    want = {(a, b) for a, b in zip(*np.nonzero(np.bitwise_count(probes[:, None] ^ size.fingerprints[None, :]) <= decontaminate.RADIUS))}
-    assert set(zip(*size.candidates(probes))) == want
+    for f in prints[:40]:
+        for n in (0, 1, 20, 31, 32):
+            flip = np.zeros(128, np.uint8)
+            flip[rng.choice(128, n, replace=False)] = 1
+            probes.append(f ^ np.packbits(flip).view(np.uint64))
+    probes = np.array(probes)
+    for size in (9, 10):
+        near = (np.bitwise_count(probes[:, None] ^ prints[None, :]).sum(axis=2) <= decontaminate.RADIUS) & (sizes == size)
+        assert set(zip(*(c.tolist() for c in index.candidates(size, probes)))) == set(zip(*(c.tolist() for c in np.nonzero(near))))
+    strangers = rng.integers(0, 2**64, (200, 2), np.uint64)
+    met = {pair for row, item in index.pairs(9, strangers) for pair in zip(row.tolist(), item.tolist())}
+    assert len(met) < 0.1 * 200 * (sizes == 9).sum()
+
+
+@pytest.mark.parametrize("n", [9, 18, 27, 60, 100])
+def test_recall_at_the_least_similarity(n):
+    """Windows that share just eight ninths of an item's shingles, the hardest case."""
+    rng = np.random.default_rng(n)
+    shared, caught, total = decontaminate.least_shared(n), 0, 600
+    for _ in range(total):
+        item = rng.integers(0, 2**64, n, np.uint64)
+        window = np.concatenate([item[:shared], rng.integers(0, 2**64, n - shared, np.uint64)])
+        a, b = (decontaminate.window_fingerprints(x, n)[0] for x in (item, window))
+        caught += int(np.bitwise_count(a ^ b).sum()) <= decontaminate.RADIUS
+    assert caught >= 0.99 * total
+
+
+def test_many_items_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 400)
+    rng = random.Random(19)
+    items = [(i, words(rng, 12, 10_000)) for i in range(40)]
+    texts = [f"{words(rng, 5)} {t} {words(rng, 5)}" for _, t in items[::2]] + [None, ""]
+    table = docs(spark, texts).withColumnRenamed("lang", "matches")
+    got = decontaminate.with_matches(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in got} == {i: [2 * i] if t else [] for i, t in enumerate(texts)}
 
 
 # --- quality -----------------------------------------------------------------------------
@@ -505,14 +598,17 @@ def brute_kneser_ney(texts):
     return p
 
 
-@pytest.mark.parametrize("local", [kneser_ney.LOCAL_ROWS, 0])
-def test_kneser_ney(spark, local):
+@pytest.mark.parametrize("held", [shards.HELD_ROWS, 60])
+def test_kneser_ney(spark, monkeypatch, held):
+    """One shard an order, and many of which a worker holds a few."""
+    if held == 60:
+        monkeypatch.setattr(shards, "SHARD_ROWS", 30)
     rng = random.Random(16)
     good = ["".join(rng.choice("abcab ") for _ in range(60)) for _ in range(12)]
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in [*good, None, ""]], "text string"))
     p = brute_kneser_ney(good)
     probes = [good[0], "abz", "", None, "zzz é", "ab " * 50]
-    got = {r["doc_id"]: r for r in kneser_ney.with_log_likelihood(docs(spark, probes), model, local_rows=local).collect()}
+    got = {r["doc_id"]: r for r in kneser_ney.with_log_likelihood(docs(spark, probes), model, held_rows=held).collect()}
     for i, t in enumerate(probes):
         line = "\x02" * 3 + (t or "")
         want = sum(np.log(p(line[k : k + 4])) for k in range(len(t or "")))
