@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 from itertools import islice
@@ -52,14 +53,15 @@ def _fewer_kinds(text: bytes) -> bytes:
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. Special-token strings inside a
-    text are ordinary text."""
+    """Encodes texts to little-endian unsigned 32-bit ids, as the tokenizer does when called with
+    add_special_tokens=False: strings of its added tokens inside a text become those tokens."""
 
     def __init__(self, tokenizer_path: str, most_chunks: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(tokenizer_path)
+        # Between the added tokens nothing is one, whatever lower-casing makes of it.
+        self._caller, self._tokenizer = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
         self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
         self._most = most_chunks
@@ -68,6 +70,12 @@ class ChunkEncoder:
         self._letters = _byte_letters()
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        #: Added tokens that are cut out of the raw text before anything else; what is between them is
+        #: encoded as if it stood alone. Texts with other added tokens go through the tokenizer whole.
+        self._plain = {t["content"].encode(): struct.pack("<I", t["id"]) for t in added if not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])}
+        self._other = [t["content"].lower().encode() for t in added if t["content"].encode() not in self._plain]
+        self._cut = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self._plain, key=len, reverse=True)) + b")") if self._plain else None
         kinds = {k for part in ("normalizer", "pre_tokenizer") for k in self._kinds(spec.get(part))}
         #: Only for this layout is a lower-case word of letters one pre-token of byte letters.
         self._direct = set(kinds) == {"NFC", "Replace", "Lowercase", "Split", "ByteLevel"}
@@ -79,8 +87,8 @@ class ChunkEncoder:
         inner = step.get("normalizers") or step.get("pretokenizers")
         return [s["type"] for s in inner] if inner else [step["type"]]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        made = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        made = (tokenizer or self._tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(m.ids)}I", *m.ids) for m in made]
 
     def _learn(self, chunks: set[bytes]) -> None:
@@ -109,9 +117,26 @@ class ChunkEncoder:
             known.update(zip(part, self._whole([c.decode("utf-8", "replace") for c in part])))
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        """The ids of each text, each followed by ``end_id``. Every different chunk of the
-        texts is looked up once; Arrow splits the texts and puts the ids back in place."""
+        """The ids of each text, each followed by ``end_id``."""
         end = struct.pack("<I", end_id)
+        apart = [i for i, t in enumerate(texts) if any(x in t.lower() for x in self._other)]
+        whole = [texts[i] for i in apart]
+        texts = [b"" if i in apart else t for i, t in enumerate(texts)] if apart else texts
+        pieces = [self._cut.split(t) if self._cut is not None and any(x in t for x in self._plain) else [t] for t in texts]
+        made = self._encode([p for some in pieces for p in some[::2]])
+        out, at = [], 0
+        for some in pieces:
+            n = (len(some) + 1) // 2
+            ids = made[at : at + n]
+            out.append((ids[0] if n == 1 else b"".join(x for k in range(n) for x in (ids[k], self._plain[some[2 * k + 1]] if k < n - 1 else b""))) + end)
+            at += n
+        for i, ids in zip(apart, self._whole([t.decode("utf-8", "replace") for t in whole], self._caller)):
+            out[i] = ids + end
+        return out
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts without added tokens. Every different chunk of them is looked up
+        once; Arrow splits the texts and puts the ids back in place."""
         known = self._known
         if len(known) > self._most:
             for key in list(islice(known, len(known) // 2)):
@@ -133,7 +158,7 @@ class ChunkEncoder:
         at = coded.indices.to_numpy(zero_copy_only=False)
         raw = lists.take(coded.indices).flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False).tobytes()
         ends = np.concatenate([[0], np.cumsum(sizes[at])])[split.offsets.to_numpy()] * ID_BYTES
-        return [raw[a:b] + end for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def encoder(tokenizer_path: str) -> ChunkEncoder:
