@@ -20,16 +20,18 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+import pyarrow.compute as pc
+import pyarrow.dataset as pads
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import binary_texts, delete_path, materialize, scratch_path
+from ._shared import binary_texts, delete_path, materialize, open_uri, scratch_path
 from .token_ids import ID_BYTES, encoded_groups
 
 MAGIC, VERSION, FOOTER = 0x5357494458, 1, 10
@@ -114,52 +116,63 @@ def shard_bytes(keys: list[int | None], ids: list[bytes]) -> bytes:
 
 
 class Shard:
-    """A shard file that was read."""
+    """A shard file, read place by place through ``read(start, size)``: opening reads the footer and
+    the level bits, a lookup one slot, a payload its own ids."""
 
-    def __init__(self, raw: bytes):
-        footer = np.frombuffer(raw, "<i8", FOOTER, len(raw) - 8 * FOOTER) if len(raw) >= 8 * FOOTER else np.zeros(FOOTER, np.int64)
-        magic, version, self.width, n_ids, n_docs, n_slots, n_levels, n_loose, nulls, n_bytes = footer.tolist()
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        footer = np.frombuffer(read(max(0, size - 8 * FOOTER), 8 * FOOTER), "<i8") if size >= 8 * FOOTER else np.zeros(FOOTER, np.int64)
+        magic, version, self.width, n_ids, self.n_docs, self.n_slots, n_levels, n_loose, self.nulls, n_bytes = footer.tolist()
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token-id shard")
-        at = n_ids * self.width
-        self._raw, self.nulls = raw, nulls
-        self.keys = np.frombuffer(raw, "<i8", n_docs, at)
-        self.counts = np.frombuffer(raw, "<i8", n_docs, at := at + 8 * n_docs)
-        self.table = np.frombuffer(raw, _SLOT, n_slots, at := at + 8 * n_docs)
-        at += _SLOT.itemsize * n_slots
-        if at + n_bytes + 8 * FOOTER != len(raw):
+        self._read, self._keys_at = read, n_ids * self.width
+        self._table_at = self._keys_at + 16 * self.n_docs
+        levels_at = self._table_at + _SLOT.itemsize * self.n_slots
+        if levels_at + n_bytes + 8 * FOOTER != size:
             raise ValueError("the shard is cut short")
-        levels = []
+        raw, at, levels = read(levels_at, n_bytes), 0, []
         for _ in range(n_levels):
             width = int(np.frombuffer(raw, "<u8", 1, at)[0])
             levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-width // 8), at + 8), count=width).astype(bool))
             at += 8 + -(-width // 8)
         self.hash = PerfectHash(levels, np.frombuffer(raw, "<i8", n_loose, at))
 
+    @classmethod
+    def of_bytes(cls, raw: bytes) -> Shard:
+        return cls(lambda start, size: raw[start : start + size], len(raw))
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys and the numbers of ids of all documents in their order."""
+        raw = self._read(self._keys_at, 16 * self.n_docs)
+        return np.frombuffer(raw, "<i8", self.n_docs), np.frombuffer(raw, "<i8", self.n_docs, 8 * self.n_docs)
+
     def locate(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First id and number of ids of each key; -1 and 0 for a key that the shard lacks."""
         slots = self.hash.slots(keys)
         ok = slots >= 0
-        ok[ok] = self.table["fingerprint"][slots[ok]] == fingerprints(np.asarray(keys)[ok])
-        return np.where(ok, self.table["start"][slots] if len(self.table) else -1, -1), np.where(ok, self.table["count"][slots] if len(self.table) else 0, 0)
+        if len(keys) > self.n_slots // 64:
+            table = np.frombuffer(self._read(self._table_at, _SLOT.itemsize * self.n_slots), _SLOT)[slots[ok]]
+        else:
+            table = np.frombuffer(b"".join(self._read(self._table_at + _SLOT.itemsize * s, _SLOT.itemsize) for s in slots[ok].tolist()), _SLOT)
+        same = table["fingerprint"] == fingerprints(np.asarray(keys)[ok])
+        start, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        hit = np.flatnonzero(ok)[same]
+        start[hit], count[hit] = table["start"][same], table["count"][same]
+        return start, count
 
     def payload(self, start: int, count: int) -> bytes:
         """``count`` ids from ``start`` on, as little-endian unsigned 32-bit integers."""
-        return np.frombuffer(self._raw, f"<u{self.width}", count, start * self.width).astype("<u4").tobytes()
+        raw = self._read(start * self.width, count * self.width)
+        return raw if self.width == ID_BYTES else np.frombuffer(raw, f"<u{self.width}").astype("<u4").tobytes()
 
     def get(self, key: int) -> bytes | None:
         start, count = (x[0] for x in self.locate(np.array([key])))
         return None if start < 0 else self.payload(int(start), int(count))
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 def _put(folder: str, name: str, raw: bytes) -> None:
     """Write a whole file and then name it: a task that dies leaves no half file by that
     name, and a task that runs again names the same bytes."""
-    where, path = _open(folder)
+    where, path = open_uri(folder)
     where.create_dir(path, recursive=True)
     draft = f"{path}/.{name}.{hashlib.sha1(repr(id(raw)).encode() + raw[-64:]).hexdigest()}"
     with where.open_output_stream(draft) as f:
@@ -176,7 +189,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     ``folder``/manifest; base counts the ids of all shards before.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows without an id, or with one id, are dealt by their texts.
+    by = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by, "text")
     names = ["part", "name", "first_key", "last_key", "n_docs", "n_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,29 +230,35 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     return docs.sparkSession.read.schema("shard long, name string, first_key long, last_key long, n_docs long, n_ids long, base long").parquet(f"{folder}/manifest")
 
 
-def _load(folder: str, name: str) -> Shard:
-    where, path = _open(folder)
-    with where.open_input_stream(f"{path}/{name}") as f:
-        return Shard(f.read())
+@contextmanager
+def _shard(folder: str, name: str, whole: bool = False) -> Iterator[Shard]:
+    """A shard of the folder, read by seeking, or at once."""
+    where, path = open_uri(folder)
+    with where.open_input_file(f"{path}/{name}") as f:
+        if whole:
+            yield Shard.of_bytes(f.read())
+        else:
+            yield Shard(lambda start, size: f.read_at(size, start), f.size())
 
 
 def read_store(manifest: DataFrame, folder: str) -> DataFrame:
     """Read every document back through the index: (doc_id, start, n_tokens, ids_crc32), start
-    counting the ids of all documents before it. Shards are read one at a time."""
+    counting the ids of all documents before it. Shards are read one at a time; an empty store gives
+    no row; documents without an id come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shard = _load(folder, name)
-                keys = shard.keys
-                starts, counts = shard.locate(keys)
+                with _shard(folder, name, whole=True) as shard:
+                    keys, sizes = shard.documents()
+                    starts, counts = shard.locate(keys)
                 # Documents without a key, or behind the first of a repeated one, have no slot
                 # of their own; the document order gives their place.
                 first = np.ones(len(keys), bool)
                 first[1:] = keys[1:] != keys[:-1]
                 first[: shard.nulls + 1] = np.arange(min(len(keys), shard.nulls + 1)) == shard.nulls
-                ordered = np.concatenate([[0], np.cumsum(shard.counts)[:-1]])
-                starts, counts = np.where(first, starts, ordered), np.where(first, counts, shard.counts)
+                ordered = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                starts, counts = np.where(first, starts, ordered), np.where(first, counts, sizes)
                 crcs = [zlib.crc32(shard.payload(a, n)) for a, n in zip(starts.tolist(), counts.tolist())]
                 ids = pa.array(keys, pa.int64(), mask=np.arange(len(keys)) < shard.nulls)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(starts + base), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -246,11 +267,29 @@ def read_store(manifest: DataFrame, folder: str) -> DataFrame:
     return named.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(spark, folder: str, key: int) -> bytes | None:
-    """The ids of one document: the manifest names the shard by its key range, the shard's
-    index the place."""
-    hit = spark.read.parquet(f"{folder}/manifest").filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("shard").select("name").first()
-    return None if hit is None else _load(folder, hit["name"]).get(key)
+class Store:
+    """Keyed access to a store: the manifest, one row a shard, is read once; each lookup then reads the
+    footer, the level bits, one slot and the document's own ids, wherever the shard lies."""
+
+    def __init__(self, folder: str):
+        where, path = open_uri(f"{folder}/manifest")
+        found = pads.dataset(path, filesystem=where, format="parquet").to_table(columns=["shard", "name", "first_key", "last_key"]).sort_by("shard")
+        found = found.filter(pc.is_valid(found.column("first_key")))
+        self.folder, self.names = folder, found.column("name").to_pylist()
+        self.firsts, self.lasts = (found.column(c).to_numpy() for c in ("first_key", "last_key"))
+
+    def get(self, key: int) -> bytes | None:
+        """The ids of the document of this key, the first of those that repeat it."""
+        at = int(np.searchsorted(self.lasts, key))
+        if at == len(self.names) or self.firsts[at] > key:
+            return None
+        with _shard(self.folder, self.names[at]) as shard:
+            return shard.get(key)
+
+
+def lookup(folder: str, key: int) -> bytes | None:
+    """The ids of one document; for many, keep a ``Store``."""
+    return Store(folder).get(key)
 
 
 def new_folder(spark) -> str:
