@@ -141,9 +141,8 @@ def free_name(df: DataFrame, name: str) -> str:
 HEAVY_ROWS, HEAVY_KEYS = 1_000, 100_000
 
 
-def heavy_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
-    """Join ``rows`` with ``table``, which has one row for each value of the column ``key`` and in
-    ``count`` how many of the ``total`` rows have that value. ``table`` is read twice, so it
+def heavy_join(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``table``, which has one row for each value of ``key`` and in ``count`` how many of the ``total`` rows have that value. ``table`` is read twice, so it
     should be a table that was written. Column ``count`` is dropped.
 
     The rows of heavy keys never meet in one task: their part of ``table``, of at most HEAVY_KEYS
@@ -158,7 +157,7 @@ def heavy_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: i
         release(heavy)
         return rows.join(plain, key, how)
     many = rows.join(F.broadcast(heavy), key)
-    return many.unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(plain, key, how))
+    return many.unionByName(rows.join(F.broadcast(heavy.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(plain, key, how))
 
 
 def open_uri(uri: str) -> tuple[fs.FileSystem, str]:

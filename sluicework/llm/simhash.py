@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import binary_texts, materialize, release, row_map
+from ._shared import binary_texts, heavy_join, materialize, release, row_map
 from .components import connected_components
 from .decontaminate import WordHasher, shingle_hashes
 
@@ -124,8 +124,8 @@ def spanning_forest(fps: np.ndarray, start: int) -> tuple[list[np.ndarray], list
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
-def _links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key: a row per link, and the rows of over-long runs with b null."""
+def _links_of_runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by key: a row per link, and the rows of runs of more than ``limit`` with b null."""
     none = np.empty(0, np.uint64)
     keys, fps, spilling = none, none, None
 
@@ -164,7 +164,7 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if last:
             yield from settle(keys[:last], fps[:last])
             keys, fps = keys[last:], fps[last:]
-        if len(keys) > FOREST_LIMIT:
+        if len(keys) > limit:
             spilling = keys[0]
             yield spilled(fps, spilling)
             keys, fps = none, none
@@ -172,17 +172,31 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from settle(keys, fps)
 
 
+def _ring_from(fp: Column, start: Column) -> Column:
+    ring = F.when(start == 0, fp)
+    for k in range(1, SEGMENTS):
+        ring = ring.when(start == k, _ring(fp, k))
+    return ring
+
+
+def _smaller_keys(rows: DataFrame) -> DataFrame:
+    """The members of large keys under keys of their own: members of a key agree on the start
+    segment, and of four equal parts of the other 48 bits, two within the radius agree on one."""
+    start = F.shiftright("key", 32)
+    parts = F.array(*(F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("ring", 12 * j).bitwiseAND(F.lit(0xFFF).cast("long")).alias("bits")) for j in range(4)))
+    each = rows.select("a", "key", start.alias("start"), _ring_from(F.col("a"), start).alias("ring")).select("a", "key", "start", F.explode(parts).alias("p"))
+    low = F.xxhash64("key", "p.j", "p.bits").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return each.select(F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(low).alias("key"), F.col("a").alias("fp"))
+
+
 def _large_key_links(rows: DataFrame) -> DataFrame:
-    """The exact way for keys too large for one task. Members of a key agree on the start
+    """The exact way for keys that are too large for one task even when parted. Members of a key agree on the start
     segment; each is dealt under every choice of 3 of the other 48 bits, cleared. Members
     dealt alike differ in those bits only, so all are linked to the smallest of them: rows
     grow with the members, not with their pairs."""
     start = F.shiftright("key", 32)
-    ring = F.when(start == 0, F.col("a"))
-    for s in range(1, SEGMENTS):
-        ring = ring.when(start == s, _ring(F.col("a"), s))
     dealt = (
-        rows.select("a", start.alias("start"), ring.alias("ring")).distinct()
+        rows.select("a", start.alias("start"), _ring_from(F.col("a"), start).alias("ring")).distinct()
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(45))))
         .withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.lit(46))))
         .withColumn("k", F.explode(F.sequence(F.col("j") + 1, F.lit(47))))
@@ -194,15 +208,24 @@ def _large_key_links(rows: DataFrame) -> DataFrame:
     return dealt.join(hubs, ["start", "mask", "rest"]).filter("a <> b").select("a", "b")
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame, forest_limit: int = FOREST_LIMIT) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect exactly what all pairs at
-    RADIUS or fewer differing bits connect."""
-    keyed = fps.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
-    found = materialize(dealt.mapInArrow(_links_of_runs, "a long, b long, key long"), "simhash-links")
-    direct = found.filter("b is not null").select("a", "b")
+    RADIUS or fewer differing bits connect. A key of more than ``forest_limit`` fingerprints is
+    parted into smaller ones, and what is still too large goes the way without runs."""
+
+    def linked(keyed: DataFrame) -> DataFrame:
+        dealt = keyed.repartition("key").sortWithinPartitions("key")
+        return materialize(dealt.mapInArrow(lambda batches: _links_of_runs(batches, forest_limit), "a long, b long, key long"), "simhash-links")
+
+    found = linked(fps.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp"))
+    links = found.filter("b is not null").select("a", "b")
     large = found.filter("b is null").select("a", "key")
-    return direct if large.isEmpty() else direct.unionByName(_large_key_links(large))
+    if large.isEmpty():
+        return links
+    parted = linked(_smaller_keys(large).distinct())
+    links = links.unionByName(parted.filter("b is not null").select("a", "b"))
+    rest = parted.filter("b is null").select("a", "key")
+    return links if rest.isEmpty() else links.unionByName(_large_key_links(rest))
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = 3) -> DataFrame:
@@ -214,21 +237,29 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     that repeat a doc_id each keep their row. Other columns are ignored; an empty table gives
     an empty result.
     """
-    hashed = materialize(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")), "text", words_per_shingle=words_per_shingle).select("doc_id", "fp"), "simhash-fp")
-    groups = materialize(hashed.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-groups")
-    links = fingerprint_links(groups)
-    named = (
-        links.join(groups.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a")
-        .join(groups.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    hashed = materialize(with_fingerprints(texts, "text", words_per_shingle=words_per_shingle).select("doc_id", "fp"), "simhash-fp")
+    named, nameless = hashed.filter("doc_id is not null"), hashed.filter("doc_id is null")
+    total = named.count()
+    groups = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-groups")
+    links = fingerprint_links(groups.select("fp"))
+    reps = groups.select("fp", "rep")
+    met = (
+        links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a")
+        .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
         .select("rep_a", "rep_b")
     )
     # A repeated doc_id with different texts is one node: its fingerprints belong together.
-    repeats = hashed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id")
-    mine = hashed.join(repeats, "doc_id", "left_semi").join(groups, "fp").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
-    roots = connected_components(named.unionByName(mine), "rep_a", "rep_b")
-    placed = groups.join(roots, groups["rep"] == roots["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    repeats = named.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("doc_id", "n")
+    repeats = materialize(repeats, "simhash-repeats")
+    mine = heavy_join(named, repeats, "doc_id", "n", total).distinct().join(reps, "fp").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
+    roots = connected_components(met.unionByName(mine), "rep_a", "rep_b")
+    placed = materialize(groups.join(roots, groups["rep"] == roots["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n"), "simhash-placed")
+    release(groups, repeats)
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return hashed.join(placed, "fp", "left").select("doc_id", hex_digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    # Empty texts, or copies of one text, may be a third of all rows.
+    out = heavy_join(named, placed, "fp", "n", total).unionByName(nameless.select("doc_id", "fp", F.lit(None).cast(placed.schema["component_id"].dataType).alias("component_id")))
+    return out.select("doc_id", hex_digits.alias("fingerprint"), "component_id")
 
 
 # -- texts by similarity -------------------------------------------------------------------------
@@ -508,7 +539,8 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     written = materialize(rows.mapInArrow(run, "doc_id long, content long, keys array<long>, text binary"), "similar-texts")
-    reps = materialize(written.groupBy("content").agg(F.min("doc_id").alias("rep")), "similar-reps")
+    copies = materialize(written.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "similar-reps")
+    total, reps = written.count(), copies.select("content", "rep")
     # Joined by document as well, so that copies of one text are dealt over all partitions.
     owned = [F.col("content") == F.col("c"), F.col("doc_id") == F.col("rep")]
     owner = reps.select(F.col("content").alias("c"), "rep").hint("merge")
@@ -552,7 +584,7 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
         return ends.join(reps.select(F.col("content").alias("b"), F.col("rep").alias("rep_b")), "b").select("rep_a", "rep_b")
 
     # Documents of the same words, and one id with several texts, are links of their own.
-    mine = written.join(reps, "content").filter("doc_id <> rep").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
+    mine = heavy_join(written.select("doc_id", "content"), copies, "content", "n", total).filter("doc_id <> rep").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
     roots = connected_components(by_rep(links).unionByName(mine), "rep_a", "rep_b")
     if dealt:
         named = large.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("key", "c", "rep", "size", F.coalesce("component", "rep").alias("component"))
@@ -565,6 +597,5 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
         release(across)
     ids = written.select("doc_id").distinct()
     placed = materialize(ids.join(roots, ids["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id")), "similar-groups")
-    for table in (written, reps, keys, found):
-        release(table)
+    release(written, copies, keys, found)
     return placed
