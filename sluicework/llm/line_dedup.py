@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import ASCII_SPACE, ascii_lower, materialize
+from ._shared import ASCII_SPACE, ascii_lower, free_name, heavy_join, materialize
 
 SALTS = 32
 
@@ -40,15 +40,15 @@ def occurrences(docs: DataFrame, min_key_chars: int = 1) -> DataFrame:
 
 
 def key_statistics(found: DataFrame) -> DataFrame:
-    """(h1, h2, n_docs, first_doc, first_text, first_pos) of every key."""
-    own = found.groupBy("h1", "h2", "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
+    """(h1, h2, n_docs, n_rows, first_doc, first_text, first_pos) of every key."""
+    own = found.groupBy("h1", "h2", "doc_id", "text_hash").agg(F.min("pos").alias("pos"), F.count("*").alias("rows"))
     salted = own.groupBy("h1", "h2", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).alias("salt")).agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")
+        F.count("*").alias("n"), F.sum("rows").alias("rows"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")
     )
     ordered = salted.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "first")
     key = Window.partitionBy("h1", "h2")
-    streamed = ordered.select("h1", "h2", "first", F.row_number().over(key.orderBy("first")).alias("at"), F.sum("n").over(key).alias("n_docs"))
-    return streamed.filter("at = 1").select("h1", "h2", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), F.col("first.pos").alias("first_pos"))
+    streamed = ordered.select("h1", "h2", "first", F.row_number().over(key.orderBy("first")).alias("at"), F.sum("n").over(key).alias("n_docs"), F.sum("rows").over(key).alias("n_rows"))
+    return streamed.filter("at = 1").select("h1", "h2", "n_docs", "n_rows", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_text"), F.col("first.pos").alias("first_pos"))
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, min_key_chars: int = 1) -> DataFrame:
@@ -62,13 +62,14 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     text has one empty line.
     """
     found = occurrences(docs, min_key_chars)
-    common = key_statistics(found).filter(F.col("n_docs") >= min_docs)
+    common = materialize(key_statistics(found).filter(F.col("n_docs") >= min_docs), "line-common")
+    total = found.count()
     if keep_first:
-        hit = found.join(common, ["h1", "h2"])
+        hit = heavy_join(found, common.drop("n_docs"), ["h1", "h2"], "n_rows", total)
         first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & F.col("text_hash").eqNullSafe(F.col("first_text")) & (F.col("pos") == F.col("first_pos"))
         gone = hit.filter(~first)
     else:
-        gone = found.join(common.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        gone = heavy_join(found, common.select("h1", "h2", "n_rows"), ["h1", "h2"], "n_rows", total)
     per_doc = gone.groupBy("doc_id", "text_hash", "n_lines").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
     def run(k: Column) -> Column:
@@ -82,10 +83,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the text cut down to its kept lines, plus n_lines and n_dropped. Rows
-    without a bitmap keep their text as it is, a null one included."""
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_gone"), F.col("keep").alias("_keep"))
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]) & (F.xxhash64(docs["text"]) == marks["_hash"]), "left")
+    without a bitmap keep their text as it is, a null one included. All other columns pass
+    through; columns named n_lines or n_dropped give way."""
+    docs = docs.drop("n_lines", "n_dropped")
+    by, digest, gone, keep = (free_name(docs, c) for c in ("_id", "_hash", "_gone", "_keep"))
+    marks = bitmaps.select(F.col("doc_id").alias(by), F.col("text_hash").alias(digest), F.col("n_dropped").alias(gone), F.col("keep").alias(keep))
+    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks[by]) & (F.xxhash64(docs["text"]) == marks[digest]), "left")
     lines = _lines(docs["text"])
-    kept = F.array_join(F.flatten(F.transform("_keep", lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
-    columns = [F.when(F.col("_keep").isNull(), docs[c]).otherwise(kept).alias(c) if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce("_gone", F.lit(0)).cast("long").alias("n_dropped"))
+    kept = F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
+    columns = [F.when(F.col(keep).isNull(), docs[c]).otherwise(kept).alias(c) if c == "text" else docs[c] for c in docs.columns]
+    return joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped"))
