@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._shared import binary_texts, materialize
+from ._shared import binary_texts, free_name, materialize
 from .token_ids import ID_BYTES, encoded_groups
 
 WINDOW = 4096
@@ -147,19 +148,23 @@ def pack(pieces: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int
     """Append sequence_id and offset to ``pieces`` (doc_id, start, length, ...).
 
     Every piece lands in exactly one sequence of at most ``window`` tokens; offsets within a
-    sequence are gapless from 0. Repeated rows are pieces of their own. ``pieces`` is read
-    twice, so it should be a table that was written. An empty table gives an empty result.
+    sequence are gapless from 0. Repeated rows are pieces of their own; null ids are ids. All other
+    columns pass through, columns named sequence_id or offset give way. ``pieces`` is written once with a
+    number for each row. An empty table gives an empty result.
     """
     bins = window // grain
-    binned = pieces.withColumn("bin", F.ceil(F.col("length") / grain).cast("int"))
-    histogram = {r["bin"]: r["count"] for r in binned.groupBy("bin").count().collect()}
+    pieces = pieces.drop("sequence_id", "offset")
+    number, bin_, salt, base, rank = (free_name(pieces, c) for c in ("_number", "_bin", "_salt", "_base", "_rank"))
+    # The stored number deals equal rows over the salts, however many there are.
+    binned = materialize(pieces.select("*", F.monotonically_increasing_id().alias(number), F.ceil(F.col("length") / grain).cast("int").alias(bin_)), "packing-pieces")
+    histogram = {r[0]: r[1] for r in binned.groupBy(bin_).count().collect()}
     salts = max(8, -(-max(histogram.values(), default=0) // RANKED_TOGETHER))
-    binned = binned.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = binned.groupBy("bin", "salt").count()
-    before = Window.partitionBy("bin").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("bin", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("bin", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = binned.withColumn("_rank", inside).join(bases, ["bin", "salt"]).withColumn("_rank", F.col("_rank") + F.col("base"))
+    binned = binned.withColumn(salt, F.pmod(F.xxhash64(number), F.lit(salts)).cast("int"))
+    counts = binned.groupBy(bin_, salt).agg(F.count("*").alias(number))
+    before = Window.partitionBy(bin_).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(bin_, salt, F.coalesce(F.sum(number).over(before), F.lit(0)).alias(base))
+    inside = F.row_number().over(Window.partitionBy(bin_, salt).orderBy("doc_id", "start", "ids_crc32", number)) - 1
+    ranked = binned.withColumn(rank, inside).join(bases, [bin_, salt]).withColumn(rank, F.col(rank) + F.col(base))
 
     # For each bin, in the order of the packs: from which rank on a pack takes its pieces, how
     # many a sequence takes, and the pack's first sequence.
@@ -174,25 +179,26 @@ def pack(pieces: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bin_of = batch.column(batch.schema.get_field_index("bin")).to_numpy()
-            rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy()
-            out = np.empty(len(rank), np.int64)
+            bin_of = batch.column(batch.schema.get_field_index(bin_)).to_numpy()
+            ranks = batch.column(batch.schema.get_field_index(rank)).to_numpy()
+            out = np.empty(len(ranks), np.int64)
             for b in np.unique(bin_of).tolist():
                 rows = np.flatnonzero(bin_of == b)
                 starts, each, first = table[b]
-                k = np.searchsorted(starts, rank[rows], side="right") - 1
-                out[rows] = first[k] + (rank[rows] - starts[k]) // each[k]
+                k = np.searchsorted(starts, ranks[rows], side="right") - 1
+                out[rows] = first[k] + (ranks[rows] - starts[k]) // each[k]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "sequence_id"])
 
-    placed = ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields) + ", sequence_id long")
-    order = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")).drop("bin", "salt", "base", "_rank")
+    placed = ranked.mapInArrow(place, T.StructType([*ranked.schema.fields, T.StructField("sequence_id", T.LongType())]))
+    order = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "doc_id", "start", "ids_crc32", number).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")).drop(number, bin_, salt, base, rank)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
-    """Encode, cut and pack ``docs`` (doc_id, text): one row per piece with its place."""
-    pieces = materialize(cut_pieces(docs, tokenizer_path, end_id, window, keep_ids), "packing-pieces")
-    return pack(pieces, window)
+    """Encode, cut and pack ``docs`` (doc_id, text): one row per piece with its place. Other columns
+    of ``docs`` are ignored; a null text is empty; repeated rows and null ids are documents of
+    their own; an empty table gives an empty result."""
+    return pack(cut_pieces(docs, tokenizer_path, end_id, window, keep_ids), window)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
