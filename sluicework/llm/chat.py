@@ -37,15 +37,24 @@ def _same(left: DataFrame, right: DataFrame, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda x, y: x & y, (left[a].eqNullSafe(right[b]) for a, b in pairs))
 
 
+def unique_nodes(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each (tree, node): the least of those that repeat it, by ``columns`` in order,
+    nulls first. Rows without a node go."""
+    least = F.min(F.struct(*columns)).alias("_row")
+    return nodes.filter("node is not null").groupBy("tree", "node").agg(least).select("tree", "node", *(F.col(f"_row.{c}").alias(c) for c in columns))
+
+
 def root_paths(nodes: DataFrame, max_branches: int | None = None) -> DataFrame:
     """All chosen root-to-leaf paths of the trees in ``nodes`` (tree, node, parent, score).
 
     Returns (tree, leaf, node, pos, branch_rank, branch_score), pos counting from the root.
     A parent that is null or absent makes a root. Branches rank by the sum of their scores
     (a null score counts 0), ties to the smaller leaf; ``max_branches`` keeps the best per
-    tree. (tree, node) must be unique and node not null; nodes on or below a cycle of
-    replies belong to no root-to-leaf path and are left out.
+    tree. Of rows that repeat (tree, node), the one with the least (parent, score) counts; rows without
+    a node are left out, as are nodes on or below a cycle of replies, which belong to no
+    root-to-leaf path. Other columns are ignored; an empty table gives an empty result.
     """
+    nodes = unique_nodes(nodes, ["parent", "score"])
     parents = nodes.select(F.col("tree").alias("pt"), F.col("node").alias("pn"))
     joined = nodes.join(parents, _same(nodes, parents, ("tree", "pt"), ("parent", "pn")), "left")
     state = materialize(
@@ -86,9 +95,10 @@ def format_reply_trees(messages: DataFrame, max_branches: int | None = None, tra
     ``messages`` has (tree, node, parent, score, role, text), as ``root_paths`` takes them.
     Returns (tree, leaf, branch_rank, branch_score, n_turns, formatted, loss_spans): the
     spans are [start, end) in code points of ``formatted`` and cover exactly the escaped texts
-    of ``trained_role``. A null role or text is empty; extra columns are ignored; an empty
-    table gives an empty result.
+    of ``trained_role``. A null role or text is empty; extra columns are ignored; rows that repeat
+    (tree, node) count once, as in ``root_paths``; an empty table gives an empty result.
     """
+    messages = materialize(unique_nodes(messages, ["parent", "score", "role", "text"]), "chat-messages")
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     paths = root_paths(messages.select("tree", "node", "parent", "score"), max_branches)
     said = messages.select(F.col("tree").alias("mt"), F.col("node").alias("mn"), blank("role").alias("role"), blank("text").alias("text"))
