@@ -83,21 +83,10 @@ def test_simhash_links_keep_all_connections(spark):
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want = brute_components(signed, fps)
-    for limit in (simhash.FOREST_LIMIT, 2):
-        table = spark.createDataFrame([(s,) for s in signed], "fp long")
-        if limit == 2:  # every key goes the way of the large ones
-            pairs = [(s, start << 32 | 0) for s in signed[:40] for start in range(4)]
-            rows = spark.createDataFrame(pairs, "a long, key long")
-            ring = {}
-            for s, f in zip(signed[:40], fps[:40]):
-                for start in range(4):
-                    ring.setdefault((start, ((f << 16 * start | f >> (64 - 16 * start)) & (1 << 64) - 1) >> 48 if start else f >> 48), []).append(s)
-            links = {tuple(sorted((r["a"], r["b"]))) for r in simhash._large_key_links(rows).collect()}
-            near = {tuple(sorted((a, b))) for i, a in enumerate(signed[:40]) for j, b in enumerate(signed[:i]) if bin(fps[i] ^ fps[j]).count("1") <= 3}
-            assert links <= near
-            assert brute_close(links, signed[:40]) == brute_close(near, signed[:40])
-            continue
-        got = simhash.fingerprint_links(table).collect()
+    table = spark.createDataFrame([(s,) for s in signed], "fp long")
+    # Whole runs; keys of more than 3 fingerprints parted; nearly all the way without runs.
+    for limit in (simhash.FOREST_LIMIT, 3, 1):
+        got = simhash.fingerprint_links(table, limit).collect()
         assert all(bin((r["a"] ^ r["b"]) & (1 << 64) - 1).count("1") <= 3 for r in got)
         assert brute_close({(r["a"], r["b"]) for r in got}, signed) == brute_close({(a, c) for a, c in want.items()}, signed)
 
@@ -287,7 +276,7 @@ def test_chunks_encode_like_whole_texts():
     whole = Tokenizer.from_file(tokenizer_path())
     mine = ChunkEncoder(tokenizer_path(), most_chunks=50)
     rng = random.Random(5)
-    letters = ["a", "B", "é", "É", "́", "̌", "J", "Σ", "σ", "İ", ".", ",", "..", "!", "'s", "'", "1", "½", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "<|endoftext|>", "日", "𝔘", "»", "don't", "ǰ"]
+    letters = ["a", "B", "é", "É", "́", "̌", "J", "Σ", "σ", "İ", ".", ",", "..", "!", "'s", "'", "1", "½", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "日", "𝔘", "»", "don't", "ǰ"]
     texts = [t or "" for t in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(600)]
     made = mine.encode([t.encode() for t in texts], 1)
     for t, ids in zip(texts, made):
@@ -356,9 +345,9 @@ def test_token_store(spark, texts):
     at = 0
     for i, raw in enumerate(ids):
         assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (at, len(raw) // 4, zlib.crc32(raw))
-        assert token_store.lookup(spark, folder, i) == raw
+        assert token_store.lookup(folder, i) == raw
         at += len(raw) // 4
-    assert token_store.lookup(spark, folder, 10**9) is None
+    assert token_store.lookup(folder, 10**9) is None
 
 
 def test_token_store_without_and_with_repeated_keys(spark):
@@ -374,7 +363,7 @@ def test_perfect_hash():
     for n in (0, 1, 2, 1000, 20_000):
         keys = np.unique(rng.integers(-(2**62), 2**62, n))
         assert sorted(token_store.PerfectHash.build(keys).slots(keys).tolist()) == list(range(len(keys)))
-    shard = token_store.Shard(token_store.shard_bytes(list(range(100)), [b"\x01\0\0\0"] * 100))
+    shard = token_store.Shard.of_bytes(token_store.shard_bytes(list(range(100)), [b"\x01\0\0\0"] * 100))
     absent = np.arange(1000, 60_000)
     assert (shard.locate(absent)[0] >= 0).mean() < 0.001
 
