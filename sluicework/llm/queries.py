@@ -24,10 +24,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and empty texts have fingerprint 0 and are one
+    component; a row without an id has no component; repeated rows each give a row; other columns
+    are ignored; an empty table gives an empty result."""
     return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and conversation -1, formatted and read back. Null roles and texts are empty;
+    rows that repeat a turn all count, ordered by role and text; rows without a conv_id are one
+    conversation; other columns are ignored; an empty table gives conversation -1 alone."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -41,6 +47,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document. A null text, or one without a letter, is ``und`` with score 0; rows
+    without a language or text teach nothing; a row without an id is not held out; repeated rows each give
+    a row and each count in the fit; other columns are ignored; an empty table gives an empty result."""
     docs = _table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
     model = langid.train(docs.filter(~held_out).select("text", "lang"))
@@ -49,32 +58,50 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as packed pieces. A null text is empty, an empty one is its end id alone; repeated rows
+    and rows without an id are documents of their own; other columns are ignored; an empty table gives
+    an empty result."""
     docs = _table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, tokenizer_path(), end_id=2).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of a document with a benchmark item. Null and empty texts, and items without an id or a
+    word, match nothing; repeated rows each have their matches; other columns are ignored; an empty
+    table gives an empty result."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the id files. A null text is empty; documents without an id come
+    first; repeated ids each keep their row; other columns are ignored; an empty table gives an
+    empty result."""
     folder = token_store.new_folder(spark)
     manifest = token_store.write_store(_table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=1)
     return token_store.read_store(manifest, folder)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its common lines. A null text is one empty line; rows that repeat an id with
+    other texts are documents of their own, exact repetitions count as one document and each give a row;
+    rows without an id go by their text; an empty table gives an empty result."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every query. Null vectors, null or non-finite components and rows without an id take
+    no part; shorter vectors count as padded with zeros; repeated ids each count as candidates and ask
+    once; ties go to the smaller id; an empty table gives an empty result."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return mtree.top_k(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document. A null text scores as an empty one; labels that are null teach nothing,
+    of labels that repeat an id the highest counts; a row without an id is not held out; repeated rows
+    each give a row; without labels every text scores low; an empty table gives an empty result."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = id_remainder(F.col("doc_id"), 3) == 1
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
@@ -85,6 +112,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and decision of every document. A null or empty text has no perplexity and is not kept; a
+    null language takes the threshold over all; repeated rows each give a row; without trusted texts
+    nothing is kept; an empty table gives an empty result."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
     good = _table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & ~held_out).select("doc_id")
@@ -95,6 +125,8 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that the five stages keep; each stage says in its own docstring what
+    it does with nulls, repeats, clashing columns and empty tables."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
