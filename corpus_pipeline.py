@@ -37,12 +37,12 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     exact repetitions are one document and all keep the same lines; rows without an id with one text are
     one document. Columns of any name pass through; an empty table gives an empty result.
     """
-    gone = free_name(docs, "_gone_lines")
-    marked = line_dedup.apply_bitmaps(docs.drop("n_lines", "n_dropped"), line_dedup.keep_bitmaps(docs.select("doc_id", "text"), min_docs=10))
-    kept = marked.withColumnRenamed("n_dropped", gone)
+    aside = {c: free_name(docs, f"_{c}") for c in ("n_lines", "n_dropped") if c in docs.columns}
+    named = docs.withColumnsRenamed(aside)
+    kept = line_dedup.apply_bitmaps(named, line_dedup.keep_bitmaps(docs.select("doc_id", "text"), min_docs=10))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col(gone) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
