@@ -37,8 +37,11 @@ def test_odd_tables(spark):
     kind = spark.read.parquet(f"{SMALL}/documents.parquet").schema
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b c d e f g", None, None, 13), (2, "a b c d e f g", None, None, 13)]
     for data in (rows, []):
-        docs = spark.createDataFrame(data, kind).selectExpr("*", "'x' AS fp", "1 AS _rank")
+        more = ("fp", "_rank", "n_lines", "n_dropped", "_keep", "_toxicity", "_matches", "matches", "content", "component_id")
+        docs = spark.createDataFrame(data, kind).selectExpr("*", *(f"'x' AS {c}" for c in more))
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = materialize(stage(spark, docs, SMALL), "test-odd")
-            assert set(docs.columns) == {*kind.names, "fp", "_rank"}
+            assert docs.columns == [*kind.names, *more]
+            assert all(r[c] == "x" for r in docs.collect() for c in more)
         assert docs.count() == (3 if data else 0)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == (3 if data else 0)
