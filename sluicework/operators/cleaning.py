@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -60,18 +61,25 @@ def bin_right_closed(column: Column, edges: Sequence[float]) -> Column:
 
 
 def impute_median(df: DataFrame, *names: str) -> DataFrame:
-    """Nulls become the column's exact median, all columns' in one pass."""
-    medians = df.agg(*(F.percentile(c, 0.5).alias(f"_median_{c}") for c in names))
-    joined = df.join(F.broadcast(medians))  # one row by construction
+    """Nulls become the column's exact median, all columns' in one pass; a column without a value
+    stays null."""
+    from .statistics import quantiles
+
+    found = quantiles(df, names, [0.5])
+    # One row whatever the data: an aggregation without groups.
+    medians = found.agg(*(F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"_median_{c}") for c in names))
+    joined = df.join(F.broadcast(medians))
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}")) for c in names}).drop(*(f"_median_{c}" for c in names))
 
 
-def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row per key in ``order``, by one aggregation with map-side combining.
-    ``order`` must tell the rows of a key apart, or any of its firsts is kept."""
+def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], copies: str | None = None) -> DataFrame:
+    """The first row per key in ``order``, by one aggregation with map-side combining, and with
+    ``copies`` the number of the key's rows in a column of that name. ``order`` must tell the
+    rows of a key apart, or any of its firsts is kept."""
     rest = [c for c in df.columns if c not in keys]
+    counted = [F.count("*").alias(copies)] if copies else []
     best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
-    return df.groupBy(*keys).agg(best).select(*keys, *(F.col(f"_first.{c}").alias(c) for c in rest)).select(*df.columns)
+    return df.groupBy(*keys).agg(best, *counted).select(*keys, *(F.col(f"_first.{c}").alias(c) for c in rest), *([copies] if copies else [])).select(*df.columns, *([copies] if copies else []))
 
 
 def tag(df: DataFrame, **values: object) -> DataFrame:
@@ -85,10 +93,30 @@ def sample_by_hash(df: DataFrame, keys: Sequence[str], percent: int) -> DataFram
 
 
 def split_by_hash(df: DataFrame, key: str, stratum: str, share: float = 0.8) -> DataFrame:
-    """Mark the first ``share`` of each stratum, in the order of the key's md5, as train."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key))
-    size = F.count("*").over(Window.partitionBy(stratum))
-    return df.withColumn("split", F.when(place <= F.floor(size * share), "train").otherwise("test"))
+    """Mark the first ``share`` of each stratum, in the order of the key's md5, as train.
+
+    md5 spreads evenly, so its first three digits part each stratum into 4,096 ranges that are
+    ordered apart; a range's place is its own plus the rows of the ranges before.
+    """
+    placed = df.withColumn("_md5", F.md5(F.col(key).cast("string"))).withColumn("_range", F.coalesce(F.substring("_md5", 1, 3), F.lit("")))
+    counts = placed.groupBy(stratum, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col(stratum).alias("_stratum"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(stratum)).alias("_size"))
+    place = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_md5", key))
+    ranked = placed.withColumn("_place", place).join(bases, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_range") == F.col("_at")))
+    split = F.when(F.col("_place") + F.col("_base") <= F.floor(F.col("_size") * share), "train").otherwise("test")
+    return ranked.select(*(F.col(c) for c in df.columns), split.alias("split"))
+
+
+def flatten_structs(df: DataFrame, between: str = "_") -> DataFrame:
+    """Every field of every struct column as a column of its own, however deep, named by its path."""
+
+    def leaves(column: Column, kind: T.DataType, name: str) -> list[Column]:
+        if not isinstance(kind, T.StructType):
+            return [column.alias(name)]
+        return [leaf for f in kind.fields for leaf in leaves(column[f.name], f.dataType, f"{name}{between}{f.name}")]
+
+    return df.select(*(leaf for f in df.schema.fields for leaf in leaves(F.col(f"`{f.name}`"), f.dataType, f.name)))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

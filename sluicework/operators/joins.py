@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ def dimension(df: DataFrame, dim: DataFrame, key: str, columns: Sequence[str]) -
     return df.join(dim.select(key, *columns), key, "left")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, columns: Sequence[str], how: str = "left", bucket_by: str | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, columns: Sequence[str], how: str = "left") -> DataFrame:
     """For each left row the right row of the same key with the latest time up to the left
     one's; equal times take the greatest of ``columns``.
 
@@ -55,6 +56,23 @@ def compare(a: DataFrame, b: DataFrame, key: str, value: str, digits: int = 6) -
     return left.join(right, key, "full_outer").withColumn("delta", F.round(F.col("value_b") - F.col("value_a"), digits))
 
 
+def once_per_key(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``source`` as it is; a key that comes twice is an error when the rows are read. Rows with a null
+    in their key are no one's double."""
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    rest = [c for c in source.columns if c not in keys]
+    grouped = source.filter(whole).groupBy(*keys).agg(F.count("*").alias("_times"), F.any_value(F.struct(*rest) if rest else F.lit(1)).alias("_rest"))
+    said = F.concat(F.lit("the source of a merge repeats the key "), F.to_json(F.struct(*keys)))
+    checked = grouped.filter(F.when(F.col("_times") > 1, F.raise_error(said).cast("boolean")).otherwise(True))
+    single = checked.select(*keys, *(F.col(f"_rest.{c}").alias(c) for c in rest)).select(*source.columns)
+    return single.unionByName(source.filter(~whole))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``target`` without the rows whose key ``source`` has, and all of ``source``."""
-    return target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
+    """``target`` without the rows whose key ``source`` has, and all of ``source``.
+
+    As in a MERGE, a null in a key matches nothing: such rows of either side all stay. A key that
+    ``source`` repeats is an error when the result is read. Repeated keys of ``target`` are replaced together.
+    """
+    fresh = once_per_key(source.select(*target.columns), keys)
+    return target.join(fresh.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(fresh)

@@ -6,8 +6,6 @@ import hashlib
 import importlib
 import importlib.util
 import json
-import os
-import shutil
 import sys
 from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime, timezone
@@ -18,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import served_folder, shared_folder
+
 STAGES = ("development", "staging", "production", "archived")
 
 
@@ -44,6 +44,25 @@ class Model:
         return {}
 
 
+def reloaded(fitted: Any, spark: SparkSession) -> Any:
+    """The fitted pipeline without its training summaries, which hold on to the session and so cannot go
+    to executors once anything was observed in it."""
+    from pyspark.ml import PipelineModel
+
+    path = shared_folder(spark, "fitted")
+    fitted.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def write_about(path: str, about: Mapping[str, Any]) -> None:
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def read_about(path: str) -> dict[str, Any]:
+    return json.loads(SparkSession.getActiveSession().read.text(f"{path}/about").first()[0])
+
+
 class ForestModel(Model):
     """Random forest over imputed, scaled numbers and one-hot categories, all in pyspark.ml."""
 
@@ -81,7 +100,7 @@ class ForestModel(Model):
             rows = rows.withColumn("_key", F.xxhash64(*df.columns))
         parts = split_by_hash(rows, key, self.label).cache()
         try:
-            self.fitted = Pipeline(stages=self._stages()).fit(parts.filter("split = 'train'"))
+            self.fitted = reloaded(Pipeline(stages=self._stages()).fit(parts.filter("split = 'train'")), df.sparkSession)
             scored = self.predict(parts.filter("split = 'test'")).cache()
             first = accuracy_f1(scored, self.label, "prediction").first()
             area = auc(scored, self.label, "proba").first()["auc"]
@@ -97,15 +116,13 @@ class ForestModel(Model):
 
     def save(self, path: str) -> None:
         self.fitted.write().overwrite().save(f"{path}/pipeline")
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps(self.metadata()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        write_about(path, self.metadata())
 
     @classmethod
     def load(cls, path: str) -> ForestModel:
         from pyspark.ml import PipelineModel
 
-        about = json.loads(SparkSession.getActiveSession().read.text(f"{path}/about").first()[0])
-        made = cls(**about)
+        made = cls(**read_about(path))
         made.fitted = PipelineModel.load(f"{path}/pipeline")
         return made
 
@@ -142,6 +159,8 @@ def load_class(spec: str, folder: str | None = None) -> type:
                 del sys.modules[unique]
                 raise
         module = sys.modules[unique]
+        if (spark := SparkSession.getActiveSession()) is not None:
+            _ship(spark, path, unique)
     else:
         module = importlib.import_module(module_name)
     if not hasattr(module, name):
@@ -149,6 +168,20 @@ def load_class(spec: str, folder: str | None = None) -> type:
     return getattr(module, name)
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def _ship(spark: SparkSession, path: Path, name: str) -> None:
+    """Give the workers the module under the name that the driver knows it by, once a session, so that
+    what it defines can be unpickled there."""
+    if (key := (spark.sparkContext.applicationId, name)) in _shipped:
+        return
+    file = Path(served_folder(), f"{name}.py")
+    file.write_bytes(path.read_bytes())
+    spark.sparkContext.addPyFile(str(file))
+    _shipped.add(key)
+
+
 class GateFailed(ValueError):
     """A version that misses its gates."""
 
@@ -180,28 +213,54 @@ def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
+class Changed(RuntimeError):
+    """Someone else changed a model's record at the same time."""
+
+
 class ModelRegistry:
-    """Versions of a model in a JSON file per model, replaced as a whole by each change."""
+    """Versions of a model in JSON records, on any file system that Spark reaches.
+
+    Every change writes a new record beside the old ones, numbered one higher, by a creation that fails
+    if that number is there already. So of two changes at a time one is told to start over, and
+    a reader always finds a whole record: the one with the highest number.
+    """
 
     def __init__(self, store: str):
-        self.store = Path(store)
+        self.store = str(store).rstrip("/")
 
-    def _file(self, use_case: str, name: str) -> Path:
-        return self.store / use_case / name / "registry.json"
+    def _path(self, *parts: str):
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        path = spark._jvm.org.apache.hadoop.fs.Path("/".join([self.store, *parts]))
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
     def _read(self, use_case: str, name: str) -> dict[str, Any]:
-        path = self._file(use_case, name)
-        return json.loads(path.read_text()) if path.exists() else {"model_name": name, "use_case": use_case, "versions": {}}
+        fs, path = self._path(use_case, name, "records")
+        found = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().endswith(".json")) if fs.exists(path) else []
+        if not found:
+            return {"model_name": name, "use_case": use_case, "revision": 0, "versions": {}}
+        _, file = self._path(use_case, name, "records", found[-1])
+        stream = fs.open(file)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def _write(self, record: dict[str, Any]) -> None:
-        path = self._file(record["use_case"], record["model_name"])
-        path.parent.mkdir(parents=True, exist_ok=True)
-        draft = path.with_suffix(f".{os.getpid()}.tmp")
-        draft.write_text(json.dumps(record, indent=2, sort_keys=True))
-        os.replace(draft, path)
+        record = record | {"revision": record["revision"] + 1}
+        fs, folder = self._path(record["use_case"], record["model_name"], "records")
+        fs.mkdirs(folder)
+        _, file = self._path(record["use_case"], record["model_name"], "records", f"{record['revision']:08d}.json")
+        try:
+            stream = fs.create(file, False)
+        except Exception as e:
+            raise Changed(f"{record['model_name']} was changed by someone else; read it again") from e
+        try:
+            stream.write(bytearray(json.dumps(record, indent=2, sort_keys=True).encode()))
+        finally:
+            stream.close()
 
     def folder(self, use_case: str, name: str, version: str) -> str:
-        return str(self.store / use_case / name / "versions" / version / "model")
+        return "/".join([self.store, use_case, name, "versions", version, "model"])
 
     def register(self, use_case: str, name: str, model: Model, metrics: Mapping[str, float] | None = None, version: str | None = None, metadata: Mapping[str, Any] | None = None, run_id: str | None = None, config_hash: str | None = None) -> dict[str, Any]:
         record = self._read(use_case, name)
@@ -289,7 +348,8 @@ class ModelRegistry:
         return compare(side(a), side(b), "metric", "value")
 
     def remove(self, use_case: str, name: str) -> None:
-        shutil.rmtree(self.store / use_case / name, ignore_errors=True)
+        fs, path = self._path(use_case, name)
+        fs.delete(path, True)
 
 
 def model_transform(inputs: Mapping[str, DataFrame], params: Mapping[str, Any], context: Any = None) -> dict[str, DataFrame]:

@@ -198,4 +198,62 @@ class Spans(Hook):
             yield
 
 
-NAMED = {"timings": Timings, "counters": Counters, "spans": Spans}
+class Experiment(Hook):
+    """An MLflow run per task with its settings, step seconds and row counts, where that library is
+    installed; otherwise does nothing."""
+
+    def __init__(self, experiment: str | None = None, run_name: str | None = None, tags: dict[str, str] | None = None) -> None:
+        try:
+            import mlflow
+        except ImportError:
+            mlflow = None
+        self._mlflow, self.experiment, self.run_name, self.tags = mlflow, experiment, run_name, tags or {}
+
+    @contextmanager
+    def task(self, context: Context) -> Iterator[None]:
+        if self._mlflow is None:
+            yield
+            return
+        if self.experiment:
+            self._mlflow.set_experiment(self.experiment)
+        began = time.monotonic()
+        with self._mlflow.start_run(run_name=self.run_name or context.task, tags=self.tags):
+            self._mlflow.log_params({"task": context.task, "profile": context.profile, "run_id": context.run_id})
+            status = "error"
+            try:
+                yield
+                status = "success"
+            finally:
+                self._mlflow.set_tag("status", status)
+                self._mlflow.log_metric("seconds", time.monotonic() - began)
+
+    @contextmanager
+    def step(self, context: Context, name: str, meta: dict[str, Any]) -> Iterator[None]:
+        began = time.monotonic()
+        yield
+        if self._mlflow is not None:
+            clean = name.replace(":", ".")
+            self._mlflow.log_metric(f"{clean}.seconds", time.monotonic() - began)
+            if meta.get("row_count") is not None:
+                self._mlflow.log_metric(f"{clean}.rows", float(meta["row_count"]))
+
+
+NAMED = {"timings": Timings, "counters": Counters, "spans": Spans, "events": EventLog, "mlflow": Experiment}
+
+
+def named_hooks(names: Sequence[str], monitors: Sequence[Any], registry: Any) -> list[Hook]:
+    """The hooks that a task file names, and its monitors: each (type, params, optional) names an
+    observer of this engine or one that the registry knows; an unknown one is an error unless optional."""
+    made: list[Hook] = [NAMED[n]() for n in names]
+    for monitor in monitors:
+        target = NAMED.get(monitor.type)
+        if target is None:
+            try:
+                target = registry.get("monitors", monitor.type)
+            except KeyError:
+                if monitor.optional:
+                    continue
+                raise
+        built = target(**monitor.params)
+        made.append(built if isinstance(built, Hook) else Monitor(built))
+    return made

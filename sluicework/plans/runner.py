@@ -19,7 +19,7 @@ from ..operators.models import now
 from ..operators.transforms import chain
 from ..session import overlaid, select_catalog, session
 from ..sources.registry import Registry, default_registry
-from .hooks import NAMED, Context, Hook, Hooks
+from .hooks import Context, Hook, Hooks, named_hooks
 from .lineage import LineageStore, RunRecord, StepRecord, location_of, observed, settled
 from .spec import Config, load
 
@@ -129,7 +129,8 @@ def _run(folder: Path, config: Config, spark: SparkSession | None, profile: str
     settings = config.profile(profile if config.ENGINE.profiles else None)
     path = f"{usecase}/{package}/{name}"
     context = Context(uuid.uuid4().hex, path, profile, str(folder))
-    extra = [NAMED[h]() for h in config.CONFIG.hooks]
+    registry = registry or default_registry()
+    extra = named_hooks(config.CONFIG.hooks, config.CONFIG.monitors, registry)
     task_class = find_task(folder)
     if dry_run:
         return Engine(spark, registry, [*hooks, *extra]).run(config, context, dry_run=True)

@@ -74,13 +74,20 @@ class Step(_Strict):
     params: dict[str, Any] = Field(default_factory=dict)
 
 
+class MonitorSpec(_Strict):
+    type: str
+    params: dict[str, Any] = Field(default_factory=dict)
+    optional: bool = False
+
+
 class TaskSpec(_Strict):
     inputs: dict[str, PortSpec] = Field(min_length=1)
     transform: list[Step] = Field(default_factory=lambda: [Step()])
     outputs: dict[str, PortSpec] = Field(min_length=1)
     hooks: list[str] = Field(default_factory=list)
+    monitors: list[MonitorSpec] = Field(default_factory=list)
 
-    @field_validator("transform", mode="before")
+    @field_validator("transform", "monitors", mode="before")
     @classmethod
     def _as_list(cls, value: Any) -> Any:
         return [value] if isinstance(value, Mapping) else value

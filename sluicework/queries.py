@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import fingerprints, text
 from .operators import cleaning, joins, models, statistics, transforms
+from .plans import hooks, lineage, runner, spec
 from .plans.spec import Step
 from .session import shared_folder
-from .sources import readers, writers
+from .sources import readers, rest, writers
 from .sources.registry import default_registry
 from .streaming import windows
 
@@ -67,7 +68,7 @@ def global_count(spark, d):
     return t(spark, d, "lineitem").agg(F.count("*").alias("n"))
 
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("row_count_audit", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in TABLES))
@@ -85,19 +86,38 @@ def quantile_breaks(spark, d):
     return statistics.quantile_breaks(t(spark, d, "events"), "value").select("q", F.round("value", 6).alias("value"))
 
 
+@query("quantile_breaks_approx", "SELECT i / 10.0::DOUBLE AS q, true AS close FROM range(11) r(i)")
+def quantile_breaks_approx(spark, d):
+    """Whether each approximate break lies within a hundredth of its rank."""
+    e = t(spark, d, "events").select("value").filter("value is not null")
+    breaks = statistics.quantile_breaks(e, "value", accuracy=1_000).withColumnRenamed("value", "b")
+    at = F.transform("bs", lambda b: F.struct(b["q"].alias("q"), (F.col("value") < b["b"]).cast("long").alias("below"), (F.col("value") <= b["b"]).cast("long").alias("upto")))
+    met = e.join(F.broadcast(breaks.agg(F.collect_list(F.struct("q", "b")).alias("bs")))).select(F.inline(at))  # one row of eleven breaks
+    ranks = met.groupBy("q").agg(F.avg("below").alias("low"), F.avg("upto").alias("high"))
+    return ranks.select("q", F.col("q").between(F.col("low") - 0.01, F.col("high") + 0.01).alias("close"))
+
+
 _SPLIT_TS = "TIMESTAMP '2024-01-16 00:00:00'"
-_CUTS = ", ".join(f"quantile_cont(value, {i / 10})" for i in range(1, 10))
-_SHARES = f"""
-    WITH cut AS (SELECT list_value({_CUTS}) AS c FROM events WHERE ts < {_SPLIT_TS}),
-    placed AS (SELECT len(list_filter(c, lambda x: x <= value)) AS bucket, ts < {_SPLIT_TS} AS is_ref FROM events, cut WHERE value IS NOT NULL),
-    counts AS (SELECT b.bucket, count(p.bucket) FILTER (is_ref) AS r, count(p.bucket) FILTER (NOT is_ref) AS c FROM range(10) b(bucket) LEFT JOIN placed p ON p.bucket = b.bucket GROUP BY b.bucket),
-    shares AS (SELECT CAST(bucket AS INTEGER) AS bucket, r / sum(r) OVER () AS ref, c / sum(c) OVER () AS cur FROM counts)"""
+_DAY = "CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS DOUBLE)"
+
+
+def _shares_sql(value: str = "value", width: bool = False) -> str:
+    cuts = ", ".join(f"min(v) + (max(v) - min(v)) * CAST({i / 10} AS DOUBLE)" if width else f"quantile_cont(v, {i / 10})" for i in range(1, 10))
+    return f"""
+        WITH e AS (SELECT ts, {value} AS v FROM events), cut AS (SELECT list_value({cuts}) AS c FROM e WHERE ts < {_SPLIT_TS}),
+        placed AS (SELECT len(list_filter(c, lambda x: x <= v)) AS bucket, ts < {_SPLIT_TS} AS is_ref FROM e, cut WHERE v IS NOT NULL),
+        counts AS (SELECT b.bucket, count(p.bucket) FILTER (is_ref) AS r, count(p.bucket) FILTER (NOT is_ref) AS c FROM range(10) b(bucket) LEFT JOIN placed p ON p.bucket = b.bucket GROUP BY b.bucket),
+        shares AS (SELECT CAST(bucket AS INTEGER) AS bucket, r / sum(r) OVER () AS ref, c / sum(c) OVER () AS cur FROM counts)"""
 
 
-def _drift(spark, d):
-    e = t(spark, d, "events").select("ts", "value")
+_SHARES = _shares_sql()
+
+
+def _drift(spark, d, columns=("value",), **how):
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("double")
+    e = t(spark, d, "events").select("ts", "value", day.alias("day"))
     cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    return statistics.shares(e.filter(F.col("ts") < cut), e.filter(F.col("ts") >= cut), ["value"])
+    return statistics.shares(e.filter(F.col("ts") < cut), e.filter(F.col("ts") >= cut), list(columns), **how)
 
 
 @query("drift_histogram", _SHARES + " SELECT 'value' AS feature, bucket, round(ref, 6) AS ref, round(cur, 6) AS cur FROM shares")
@@ -113,14 +133,15 @@ def drift_psi(spark, d):
     return statistics.psi(_drift(spark, d))
 
 
-@query("drift_kl", _SHARES + " SELECT 'value' AS feature, round(sum(ref * ln((ref + 1e-8) / (cur + 1e-8))), 6) AS kl FROM shares")
+@query("drift_kl", _shares_sql(width=True) + " SELECT 'value' AS feature, round(sum(ref * ln((ref + 1e-8) / (cur + 1e-8))), 6) AS kl FROM shares")
 def drift_kl(spark, d):
-    return statistics.kl(_drift(spark, d))
+    return statistics.kl(_drift(spark, d, width=True))
 
 
-@query("route_fail_rows", _SHARES + f" SELECT * FROM (SELECT 'value' AS feature, {_PSI} AS psi, CASE WHEN {_PSI} < 0.0 THEN 'PASS' ELSE 'FAIL' END AS status FROM shares) WHERE status = 'FAIL'")
+@query("route_fail_rows", "SELECT * FROM (" + " UNION ALL ".join(f"({_shares_sql(v)} SELECT '{n}' AS feature, {_PSI} AS psi, CASE WHEN {_PSI} < 0.2 THEN 'PASS' ELSE 'FAIL' END AS status FROM shares)" for n, v in (("value", "value"), ("day", _DAY))) + ") WHERE status = 'FAIL'")
 def route_fail_rows(spark, d):
-    return cleaning.route(statistics.psi(_drift(spark, d), limit=0.0), "status = 'FAIL'")[1]
+    """Of a feature that keeps its distribution and one that cannot, the day, the one that drifts."""
+    return cleaning.route(statistics.psi(_drift(spark, d, ("value", "day"))), "status = 'FAIL'")[1]
 
 
 def _scored(spark, d):
@@ -179,10 +200,33 @@ def sql_transform(spark, d):
     return transforms.sql(frames, {"queries": {"out": "SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"}})["out"]
 
 
-for _name in ("task_filter", "filter_predicate"):
-    @query(_name, "SELECT * FROM customer WHERE c_acctbal >= 1800")
-    def filter_predicate(spark, d):
-        return t(spark, d, "customer").filter("c_acctbal >= 1800")
+@query("filter_predicate", "SELECT * FROM customer WHERE c_acctbal >= 1800")
+def filter_predicate(spark, d):
+    return t(spark, d, "customer").filter("c_acctbal >= 1800")
+
+
+class _RichCustomers(runner.Task):
+    def setup(self):
+        self.least = 1800
+
+    def transform(self, sources):
+        return {"rich": sources["customer"].filter(F.col("c_acctbal") >= self.least)}
+
+
+def _run(spark, inputs: dict, outputs: dict, task: type[runner.Task] | None = None, record: lineage.RunRecord | None = None) -> None:
+    """A task run by the engine, from named inputs to named outputs."""
+    config = spec.parse({"VERSION": "1.0.0", "CONFIG": {"inputs": inputs, "outputs": outputs}}, {}, {})
+    made = task(config.CONFIG.model_dump()) if task else None
+    if made is not None:
+        made.setup()
+    runner.Engine(spark).run(config, hooks.Context("query", "queries/engine/task"), made, record)
+
+
+@query("task_filter", "SELECT * FROM customer WHERE c_acctbal >= 1800")
+def task_filter(spark, d):
+    path = shared_folder(spark, "task")
+    _run(spark, {"customer": {"format": "path", "path": f"{d}/customer.parquet"}}, {"rich": {"format": "path", "path": path}}, _RichCustomers)
+    return spark.read.schema(CUSTOMER).parquet(path)
 
 
 @query("filter_length", "SELECT doc_id, n_chars FROM documents WHERE length(text) > 200")
@@ -227,8 +271,7 @@ def dedup_rows(spark, d):
 def dedup_key(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
     hashed = docs.select("doc_id", F.md5("text").alias("text_md5"))
-    first = cleaning.dedup_by_key(hashed, ["text_md5"], ["doc_id"])
-    return first.join(hashed.groupBy("text_md5").agg(F.count("*").alias("n_copies")), "text_md5").select("doc_id", "n_copies", "text_md5")
+    return cleaning.dedup_by_key(hashed, ["text_md5"], ["doc_id"], copies="n_copies").select("doc_id", "n_copies", "text_md5")
 
 
 @query("cast_columns", "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
@@ -275,10 +318,17 @@ def sample_hash(spark, d):
     return cleaning.sample_by_hash(t(spark, d, "events").select("event_id", "user_id"), ["event_id"], 10)
 
 
-@query("audit_row")
+@query("audit_row", """
+    SELECT 'orders' AS output, 'path' AS format, count(*) AS row_count,
+        CAST(sum(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || chr(31) || CAST(o_custkey AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) > 0 AS hashed FROM orders""")
 def audit_row(spark, d):
-    n = t(spark, d, "lineitem").agg(F.count("*").alias("rows"))
-    return n.select(F.lit("1.0.0").alias("model_version"), F.current_timestamp().cast("string").alias("trained_at"), "rows", F.lit("staging").alias("promoted_to"))
+    """One row about a run: what the engine observed while it wrote."""
+    record = lineage.RunRecord("query", "queries/engine/audit", "queries", "engine", "audit", None, "etl", "1.0.0", "")
+    source = shared_folder(spark, "audit-in")
+    t(spark, d, "orders").write.parquet(source)
+    _run(spark, {"orders": {"format": "path", "path": source}}, {"orders": {"format": "path", "path": shared_folder(spark, "audit")}}, record=record)
+    rows = [(s.name, s.format, s.row_count, bool(s.data_hash)) for s in record.outputs]
+    return spark.createDataFrame(rows, "output string, format string, row_count long, hashed boolean")
 
 
 @query("train_test_split", """
@@ -338,9 +388,14 @@ def sql_join_inner(spark, d):
     return t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
 
 
-@query("sql_join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 200) FULL JOIN supplier ON c_custkey = s_suppkey")
+@query("sql_join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region")
+def sql_join_cross(spark, d):
+    return t(spark, d, "nation").crossJoin(t(spark, d, "region")).select("n_name", "r_name")
+
+
+@query("sql_join_full", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
 def sql_join_full(spark, d):
-    return t(spark, d, "customer").filter("c_custkey < 200").join(t(spark, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
+    return t(spark, d, "customer").join(t(spark, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
 
 
 @query("sql_join_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
@@ -365,12 +420,17 @@ def sql_join_theta(spark, d):
 
 # --- windows, sorting, sets --------------------------------------------------------------
 
-@query("rolling_range_agg", """
-    SELECT event_id, user_id, CAST(sum(CAST(value AS DECIMAL(18,4))) OVER w AS DOUBLE) AS sum_30d, count(value) OVER w AS count_30d FROM events
-    WINDOW w AS (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW)""")
+_ROLLING = ", ".join(f"CAST(sum(CAST(value AS DECIMAL(18,4))) OVER w{n} AS DOUBLE) AS sum_{n}d, count(value) OVER w{n} AS count_{n}d, round(CAST(sum(CAST(value AS DECIMAL(18,4))) OVER w{n} AS DOUBLE) / count(value) OVER w{n}, 6) AS avg_{n}d" for n in (7, 30))
+_FRAMES = ", ".join(f"w{n} AS (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN {n * 86400} PRECEDING AND CURRENT ROW)" for n in (7, 30))
+
+
+@query("rolling_range_agg", f"SELECT event_id, user_id, {_ROLLING} FROM events WINDOW {_FRAMES}")
 def rolling_range_agg(spark, d):
-    out = statistics.rolling(t(spark, d, "events"), "user_id", "ts", dec("value", 4), 30)
-    return out.select("event_id", "user_id", F.col("sum_30d").cast("double").alias("sum_30d"), "count_30d")
+    out = t(spark, d, "events")
+    for days in (7, 30):
+        out = statistics.rolling(out, "user_id", "ts", dec("value", 4), days)
+    frames = [c for n in (7, 30) for c in (F.col(f"sum_{n}d").cast("double").alias(f"sum_{n}d"), F.col(f"count_{n}d"), F.round(f"avg_{n}d", 6).alias(f"avg_{n}d"))]
+    return out.select("event_id", "user_id", *frames)
 
 
 @query("latest_n_runs", "SELECT user_id, event_id, CAST(k AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 3")
@@ -378,11 +438,29 @@ def latest_n_runs(spark, d):
     return joins.newest(t(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 3).select("user_id", "event_id", "place")
 
 
-@query("active_version")
+class _Constant(models.Model):
+    """A model that has nothing to learn."""
+
+    def save(self, path):
+        pass
+
+
+def _registry(spark) -> models.ModelRegistry:
+    """Three versions: the first two were promoted to production, one after the other."""
+    store = models.ModelRegistry(shared_folder(spark, "registry"))
+    for accuracy in (0.8, 0.9, 0.7):
+        store.register("use", "model", _Constant(), {"accuracy": accuracy})
+    for version in ("1.0.0", "1.0.1"):
+        store.promote("use", "model", version, "production", {"min_accuracy": 0.75})
+    return store
+
+
+@query("active_version", "SELECT * FROM (VALUES ('1.0.0', 'archived', false), ('1.0.1', 'production', true), ('1.0.2', 'development', false)) v(version, stage, active)")
 def active_version(spark, d):
-    rows = [("1.0.0", "archived", "2024-01-01"), ("1.0.1", "production", "2024-02-01"), ("1.0.2", "development", None)]
-    v = spark.createDataFrame(rows, "version string, stage string, promoted_to_prod string")
-    return v.filter("stage = 'production'").agg(F.max_by("version", "promoted_to_prod").alias("version"))
+    """The registry's versions and which one is current: the last promoted of those in production."""
+    rows = _registry(spark).versions(spark, "use", "model")
+    newest = F.max_by(F.when(F.col("stage") == "production", F.col("version")), F.when(F.col("stage") == "production", F.col("promoted_to_prod"))).over(Window.partitionBy())
+    return rows.select("version", "stage", (F.col("version") == newest).alias("active"))
 
 
 @query("topk_preview", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -425,6 +503,13 @@ def sql_count_distinct(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 
 
+@query("sql_count_approx", "SELECT event_type, true AS close FROM events GROUP BY event_type")
+def sql_count_approx(spark, d):
+    """Whether the approximate number of users is within a tenth of the exact one, twice its deviation."""
+    counts = t(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.05).alias("a"), F.count_distinct("user_id").alias("n"))
+    return counts.select("event_type", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("close"))
+
+
 @query("sql_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
 def sql_having(spark, d):
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n > 12")
@@ -435,24 +520,24 @@ def sql_union_all(spark, d):
     return t(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).unionByName(t(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey")))
 
 
-_FEW = "SELECT s_nationkey FROM supplier WHERE s_suppkey < 19"
+_FEW = "SELECT s_nationkey FROM supplier WHERE s_nationkey % 3 = 0"
 
 
 @query("sql_intersect", f"SELECT c_nationkey AS nationkey FROM customer INTERSECT {_FEW}")
 def sql_intersect(spark, d):
-    return t(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).intersect(t(spark, d, "supplier").filter("s_suppkey < 19").select("s_nationkey"))
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).intersect(t(spark, d, "supplier").filter("s_nationkey % 3 = 0").select("s_nationkey"))
 
 
 @query("sql_except", f"SELECT c_nationkey AS nationkey FROM customer EXCEPT {_FEW}")
 def sql_except(spark, d):
-    return t(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).subtract(t(spark, d, "supplier").filter("s_suppkey < 19").select("s_nationkey"))
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).subtract(t(spark, d, "supplier").filter("s_nationkey % 3 = 0").select("s_nationkey"))
 
 
 # --- functions ---------------------------------------------------------------------------
 
 @query("vector_topk", """
     WITH q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id = 0)
-    SELECT vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), e), 6) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 10""")
+    SELECT vec_id, round(raw, 6) AS similarity FROM (SELECT vec_id, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), e) AS raw FROM embeddings, q ORDER BY raw DESC, vec_id LIMIT 10)""")
 def vector_topk(spark, d):
     e = t(spark, d, "embeddings")
     return statistics.most_similar(e, "vec_id", "embedding", e.filter("vec_id = 0").first()["embedding"], 10)
@@ -463,22 +548,31 @@ def explode_arrays(spark, d):
     return t(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
-@query("arrays_zip_explode", "SELECT vec_id, CAST(i AS INTEGER) AS k, round(CAST(embedding[i] AS DOUBLE), 6) AS x FROM embeddings, range(1, 4) r(i)")
+@query("arrays_zip_explode", "SELECT vec_id, CAST(i AS INTEGER) AS k, round(CAST(embedding[i] AS DOUBLE), 6) AS x FROM embeddings, range(1, 65) r(i)")
 def arrays_zip_explode(spark, d):
-    z = F.arrays_zip(F.array(F.lit(1), F.lit(2), F.lit(3)).alias("k"), F.slice("embedding", 1, 3).alias("x"))
+    z = F.arrays_zip(F.sequence(F.lit(1), F.size("embedding")).alias("k"), F.col("embedding").alias("x"))
     return t(spark, d, "embeddings").select("vec_id", F.inline(z).alias("k", "x")).select("vec_id", "k", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
-for _name in ("json_extract", "flatten_json"):
-    @query(_name, "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
-    def json_extract(spark, d):
-        return t(spark, d, "events").select(F.from_json("props", "k bigint").alias("p")).select("p.*").groupBy("k").agg(F.count("*").alias("n"))
+@query("json_extract", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_extract(spark, d):
+    return t(spark, d, "events").select(F.from_json("props", "k bigint").alias("p")).select("p.*").groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("flatten_json", "SELECT c_custkey AS id, c_name AS person_name, c_nationkey AS person_home_nation, c_acctbal AS person_home_balance FROM customer")
+def flatten_json(spark, d):
+    """Nested records, as an API gives them, to flat columns."""
+    home = F.struct(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    record = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), home.alias("home")).alias("person")))
+    kind = "id bigint, person struct<name: string, home: struct<nation: int, balance: double>>"
+    return cleaning.flatten_structs(t(spark, d, "customer").select(F.from_json(record, kind).alias("r")).select("r.*"))
 
 
 @query("rest_json_schema", "SELECT c_custkey AS id, c_name AS name, TIMESTAMP '2024-01-02 03:04:05' AS seen FROM customer")
 def rest_json_schema(spark, d):
     record = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("2024-01-02 03:04:05").alias("seen")))
-    return t(spark, d, "customer").select(F.from_json(record, "id bigint, name string, seen timestamp_ntz").alias("r")).select("r.*")
+    ddl = rest.schema_ddl([{"name": "id", "type": "long"}, {"name": "name", "type": "str"}, {"name": "seen", "type": "timestamp_ntz"}])
+    return t(spark, d, "customer").select(F.from_json(record, ddl).alias("r")).select("r.*")
 
 
 @query("derive_date", "SELECT CAST(ts AS DATE) AS day, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
@@ -510,7 +604,7 @@ def recent_window(spark, d):
     return t(spark, d, "events").filter((F.col("ts") > F.lit("2024-01-24 00:00:00").cast("timestamp_ntz")) & (F.col("ts") <= as_of)).select("event_id", "ts")
 
 
-@query("to_json_payload")
+@query("to_json_payload", "SELECT c_custkey, CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment}) AS VARCHAR) AS record FROM customer")
 def to_json_payload(spark, d):
     return t(spark, d, "customer").select("c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("record"))
 
@@ -559,7 +653,15 @@ query("src_json", "SELECT * FROM customer")(_staged("json", schema=CUSTOMER))
 query("src_orc", "SELECT * FROM customer")(_staged("orc"))
 query("sink_parquet_roundtrip", "SELECT * FROM customer")(_staged("parquet"))
 query("sink_csv_roundtrip", "SELECT * FROM customer")(_staged("csv", schema=CUSTOMER))
-query("sink_json_roundtrip", "SELECT * FROM customer")(_staged("json", schema=CUSTOMER))
+
+
+@query("sink_json_roundtrip", "SELECT * FROM customer WHERE c_acctbal > 0 UNION ALL SELECT * FROM customer WHERE c_acctbal <= 0")
+def sink_json_roundtrip(spark, d):
+    """Overwritten, then appended to."""
+    path, c = shared_folder(spark, "sink-json"), t(spark, d, "customer")
+    for rows, mode in ((c, "overwrite"), (c.filter("c_acctbal > 0"), "overwrite"), (c.filter("c_acctbal <= 0"), "append")):
+        writers.write_path(rows, {"path": path, "file_format": "json", "mode": mode, "options": {"compression": "gzip"}})
+    return readers.read_path(spark, {"path": path, "file_format": "json", "schema": CUSTOMER})
 
 
 def _table(spark, df, **cfg) -> str:
@@ -598,10 +700,16 @@ def _lower(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.lower() for c in df.columns))
 
 
-for _name in ("src_jdbc_table", "sink_jdbc_roundtrip"):
-    @query(_name, "SELECT * FROM customer")
-    def src_jdbc_table(spark, d):
-        return _lower(readers.read_jdbc(spark, _derby(spark, d)))
+@query("src_jdbc_table", "SELECT * FROM customer")
+def src_jdbc_table(spark, d):
+    return _lower(readers.read_jdbc(spark, _derby(spark, d)))
+
+
+@query("sink_jdbc_roundtrip", "SELECT * FROM customer UNION ALL SELECT -c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 0")
+def sink_jdbc_roundtrip(spark, d):
+    cfg = _derby(spark, d)
+    writers.write_jdbc(t(spark, d, "customer").filter("c_acctbal < 0").withColumn("c_custkey", -F.col("c_custkey")), {**cfg, "mode": "append"})
+    return _lower(readers.read_jdbc(spark, cfg))
 
 
 @query("src_jdbc_query", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
@@ -617,16 +725,21 @@ def src_jdbc_partitioned(spark, d):
 
 def _files(spark, d) -> str:
     path = shared_folder(spark, "src-binary")
-    t(spark, d, "nation").coalesce(1).write.option("header", True).csv(path)
+    t(spark, d, "nation").orderBy("n_nationkey").coalesce(1).write.option("header", True).csv(path)
     return path
 
 
-@query("src_binary")
+_FILE = """
+    WITH f AS (SELECT 'n_nationkey,n_name,n_regionkey' || chr(10) || string_agg(n_nationkey || ',' || n_name || ',' || n_regionkey || chr(10), '' ORDER BY n_nationkey) AS body FROM nation)
+    SELECT CAST(octet_length(encode(body)) AS BIGINT) AS length, sha256(body) AS sha256 FROM f"""
+
+
+@query("src_binary", _FILE)
 def src_binary(spark, d):
     return readers.read_binary(spark, {"path": _files(spark, d), "options": {"pathGlobFilter": "*.csv"}}).select("length", F.sha2("content", 256).alias("sha256"))
 
 
-@query("file_sha256")
+@query("file_sha256", _FILE)
 def file_sha256(spark, d):
     return fingerprints.file_fingerprints(spark, _files(spark, d)).filter("path like '%.csv'").select("length", "sha256")
 
@@ -639,6 +752,14 @@ def sink_table_overwrite(spark, d):
     return spark.table(name)
 
 
+@query("sink_table_properties", "SELECT * FROM (VALUES ('comment', 'it''s a test'), ('steward', 'o''neil')) p(key, value)")
+def sink_table_properties(spark, d):
+    """A table's comment and properties, as read back from the catalog."""
+    name = _table(spark, t(spark, d, "nation"), comment="it's a test", properties={"steward": "o'neil"})
+    comment = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Comment'").select(F.lit("comment").alias("key"), F.col("data_type").alias("value"))
+    return comment.unionByName(spark.sql(f"SHOW TBLPROPERTIES {name}").filter("key = 'steward'").select("key", "value"))
+
+
 @query("sink_partitioned", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def sink_partitioned(spark, d):
     return spark.table(_table(spark, t(spark, d, "nation"), partitionBy=["n_regionkey"])).select("n_nationkey", "n_name", "n_regionkey")
@@ -699,9 +820,8 @@ _FOREST = {"numbers": ["n_chars", "n_odd"], "categories": ["lang"], "label": "qu
 
 @query("ml_train_metrics")
 def ml_train_metrics(spark, d):
-    with tempfile.TemporaryDirectory() as store:
-        params = {"action": "train", "model_params": _FOREST, "output_name": "metrics"}
-        return transforms.model({"rows": _examples(spark, d)}, params)["metrics"]
+    params = {"action": "train", "model_params": _FOREST, "output_name": "metrics"}
+    return transforms.model({"rows": _examples(spark, d)}, params)["metrics"]
 
 
 @query("ml_predict")
@@ -712,7 +832,7 @@ def ml_predict(spark, d):
     return transforms.model({"rows": rows}, {"action": "predict", "model_path": path})["model_output"].select("doc_id", "prediction", "proba", "model_version", "model_stage")
 
 
-@query("ml_batch_score")
+@query("ml_batch_score", "SELECT doc_id, n_chars, CAST(1 AS DOUBLE) / (1 + n_chars) AS score FROM documents")
 def ml_batch_score(spark, d):
     return models.batch_score(t(spark, d, "documents").select("doc_id", "n_chars"), ["n_chars"], lambda p: 1.0 / (1.0 + p["n_chars"]))
 
@@ -727,12 +847,15 @@ def stream_tumbling_count(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query("session_windows")
+@query("session_windows", """
+    WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    numbered AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)
+    SELECT min(ts) AS session_start, user_id, count(*) AS n FROM numbered GROUP BY user_id, k""")
 def session_windows(spark, d):
-    return windows.sessions(t(spark, d, "events"), "ts", ["user_id"], gap="6 hours")
+    return windows.sessions(t(spark, d, "events"), "ts", ["user_id"], gap="6 hours").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
 
 
-@query("src_rest_offset")
+@query("src_rest_offset", "SELECT * FROM nation")
 def src_rest_offset(spark, d):
     """Nations through a local server, in pages; for local sessions."""
     import threading

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -61,15 +63,22 @@ def ship_package(spark: SparkSession) -> None:
     on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) in on_path or os.getcwd() == str(ROOT) or getattr(spark.sparkContext, "_sluicework_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        name = os.path.join(folder, "sluicework.zip")
-        with zipfile.ZipFile(name, "w") as z:
-            for path in sorted((ROOT / "sluicework").rglob("*.py")):
-                z.write(path, path.relative_to(ROOT))
-        spark.sparkContext.addPyFile(name)
+    name = os.path.join(served_folder(), "sluicework.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for path in sorted((ROOT / "sluicework").rglob("*.py")):
+            z.write(path, path.relative_to(ROOT))
+    spark.sparkContext.addPyFile(name)
     spark.sparkContext._sluicework_shipped = True
 
 
+def served_folder() -> str:
+    """A folder of the driver for files that it serves to executors: they may ask for them at any
+    time, so it stays until the driver ends."""
+    folder = tempfile.mkdtemp(prefix="sluicework-served-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder that all executors see: below ``spark.checkpoint.dir``, or, in a local
     session without that setting, in this machine's temporary folder."""

@@ -26,7 +26,13 @@ def read_path(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     reader = spark.read.format(cfg.get("file_format") or "parquet").options(**(cfg.get("options") or {}))
     if cfg.get("schema"):
         reader = reader.schema(cfg["schema"])
-    return reader.load(cfg["path"])
+    try:
+        return reader.load(cfg["path"])
+    except Exception as e:
+        # Spark says so in several ways, by format.
+        if any(said in str(e) for said in ("DATA_SOURCE_NOT_FOUND", "Failed to find", "ClassNotFoundException")):
+            raise ValueError(f"format {cfg.get('file_format')} needs its package on Spark's class path") from e
+        raise
 
 
 def read_table(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:

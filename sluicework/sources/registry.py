@@ -13,14 +13,15 @@ Write = Callable[[DataFrame, Mapping[str, Any]], None]
 
 
 class Registry:
-    """Readers, writers and transforms. A later registration replaces an earlier one."""
+    """Readers, writers, transforms and monitors. A later registration replaces an earlier one."""
 
-    groups = ("readers", "writers", "transforms")
+    groups = ("readers", "writers", "transforms", "monitors")
 
     def __init__(self) -> None:
         self.readers: dict[str, Read] = {}
         self.writers: dict[str, Write] = {}
         self.transforms: dict[str, Callable[..., dict[str, DataFrame]]] = {}
+        self.monitors: dict[str, Callable[..., Any]] = {}
 
     def add(self, group: str, name: str, item: Callable) -> None:
         if group not in self.groups:

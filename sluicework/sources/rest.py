@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import shared_folder
+
 PAGINATIONS = ("none", "offset", "cursor", "next_link")
 RETRIED = (429, 503)
 # Names of simple types that a declared schema may use.
@@ -69,15 +71,17 @@ class Client:
         elif kind:
             raise ValueError(f"unknown auth type {kind!r}")
 
-    def send(self, url: str, params: Mapping[str, Any] | None, body: Any = None, method: str | None = None, retried: tuple[int, ...] = RETRIED) -> Any:
+    def send(self, url: str, params: Mapping[str, Any] | None, body: Any = None, method: str | None = None, retried: tuple[int, ...] = RETRIED, headers: Mapping[str, str] | None = None) -> Any:
+        """Retries are set under ``retry`` (max_retries, statuses, backoff) or, as max_retries and
+        retry_on, under ``rate_limit``."""
         limits = self.cfg.get("rate_limit") or {}
-        retry = self.cfg.get("retry") or {}
-        tries = 1 + int(retry.get("max_retries", 3))
+        retry = {"max_retries": limits.get("max_retries"), "statuses": limits.get("retry_on")} | (self.cfg.get("retry") or {})
+        tries = 1 + int(3 if retry.get("max_retries") is None else retry["max_retries"])
         for attempt in range(tries):
             if limits.get("requests_per_second"):
                 self._sleep(1.0 / float(limits["requests_per_second"]))
-            reply = self._session.request(method or self.cfg.get("method", "GET"), url, params=params, json=body, timeout=float(self.cfg.get("timeout", 30)))
-            if reply.status_code not in tuple(retry.get("statuses", retried)) or attempt == tries - 1:
+            reply = self._session.request(method or self.cfg.get("method", "GET"), url, params=params, json=body, headers=headers, timeout=float(self.cfg.get("timeout", 30)))
+            if reply.status_code not in tuple(retry.get("statuses") or retried) or attempt == tries - 1:
                 reply.raise_for_status()
                 return reply
             self._sleep(float(retry.get("backoff", 1.0)) * 2**attempt)
@@ -92,9 +96,10 @@ class Client:
             size = int(paging.get("page_size", 100))
             if paging.get("limit_param"):
                 params[paging["limit_param"]] = size
-            n = first_page
+            n, where = first_page, paging.get("offset_param", "offset")
+            begin = int(params.get(where) or 0)
             while most is None or n < first_page + int(most):
-                params[paging.get("offset_param", "offset")] = n * size
+                params[where] = begin + n * size
                 records = extract_records(self.send(url, params, body).json(), root)
                 if not records:
                     return
@@ -153,8 +158,8 @@ class RestSource(DataSource):
 
 
 def read_rest(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
-    """The records of a REST resource. Without a declared schema it is inferred from the
-    records, which fetches them twice; no records and no schema is an error."""
+    """The records of a REST resource. Without a declared schema they are fetched once into the shared
+    folder and their schema is inferred; no records and no schema is an error."""
     if not cfg.get("url"):
         raise ValueError("a rest_api input needs url")
     kind = (cfg.get("pagination") or {}).get("type", "none")
@@ -165,8 +170,10 @@ def read_rest(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     records = spark.read.format("sluice_rest").option("config", json.dumps(plain)).load()
     ddl = schema_ddl(cfg.get("schema"))
     if ddl is None:
-        found = spark.read.json(records.rdd.map(lambda r: r[0])).schema
-        if not found.fields:
+        path = shared_folder(spark, "rest-records")
+        records.write.text(path)
+        found = spark.read.json(path)
+        if not found.schema.fields:
             raise ValueError("no records came and no schema is declared")
-        return records.select(F.from_json("record", found).alias("r")).select("r.*")
+        return found
     return records.select(F.from_json("record", ddl).alias("r")).select("r.*")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,9 @@ def write_path(df: DataFrame, cfg: Mapping[str, Any]) -> None:
 
 
 def merge_path(df: DataFrame, cfg: Mapping[str, Any], kind: str) -> None:
-    """Upsert into files: the new state is written beside the target and then takes its
-    place, so a failed write leaves the target as it was."""
+    """Upsert into files: the new state is written beside the target and then takes its place. A failed
+    write leaves the target as it was; if the second of the two renames fails, the first is undone.
+    Between the two, for the time of a rename, the path is absent: files have no exchange in one step."""
     keys = _columns(cfg.get("merge_keys"))
     if not keys:
         raise ValueError("mode merge needs merge_keys")
@@ -61,11 +64,25 @@ def merge_path(df: DataFrame, cfg: Mapping[str, Any], kind: str) -> None:
     staged = jvm.org.apache.hadoop.fs.Path(f"{path}.staged-{uuid.uuid4().hex}")
     aside = jvm.org.apache.hadoop.fs.Path(f"{path}.replaced-{uuid.uuid4().hex}")
     _writer(upsert(old, df, keys), cfg, "error").format(kind).save(staged.toString())
-    fs.rename(target, aside)
-    fs.rename(staged, target)
+    if not fs.rename(target, aside):
+        fs.delete(staged, True)
+        raise OSError(f"{path} could not be moved aside")
+    moved = False
+    try:
+        moved = fs.rename(staged, target)
+    finally:
+        if not moved:
+            fs.rename(aside, target)
+    if not moved:
+        raise OSError(f"the new state could not take the place of {path}")
     fs.delete(aside, True)
 
 
+def _in_schema(name: str) -> str:
+    """A table's name without its catalog, as a rename takes it."""
+    return ".".join(name.split(".")[-2:])
+
+
 def write_table(df: DataFrame, cfg: Mapping[str, Any]) -> None:
     name, mode, spark = table_name(cfg), mode_of(cfg, "append"), df.sparkSession
     kind = cfg.get("file_format") or "parquet"
@@ -74,10 +91,17 @@ def write_table(df: DataFrame, cfg: Mapping[str, Any]) -> None:
         if not keys:
             raise ValueError("mode merge needs merge_keys")
         if spark.catalog.tableExists(name):
-            staged = f"{name}_staged_{uuid.uuid4().hex[:8]}"
-            _writer(upsert(spark.table(name), df, keys), cfg, "error").format(kind).saveAsTable(staged)
-            spark.sql(f"DROP TABLE {name}")
-            spark.sql(f"ALTER TABLE {staged} RENAME TO {name.rsplit('.', 2)[-2] + '.' if name.count('.') else ''}{name.rsplit('.', 1)[-1]}")
+            staged, aside = f"{name}_staged_{uuid.uuid4().hex[:8]}", f"{name}_replaced_{uuid.uuid4().hex[:8]}"
+            plain = {k: v for k, v in cfg.items() if k != "options"} | {"options": {k: v for k, v in (cfg.get("options") or {}).items() if k != "path"}}
+            _writer(upsert(spark.table(name), df, keys), plain, "error").format(kind).saveAsTable(staged)
+            # The old table keeps existing under another name until the new one has its place.
+            spark.sql(f"ALTER TABLE {name} RENAME TO {_in_schema(aside)}")
+            try:
+                spark.sql(f"ALTER TABLE {staged} RENAME TO {_in_schema(name)}")
+            except BaseException:
+                spark.sql(f"ALTER TABLE {aside} RENAME TO {_in_schema(name)}")
+                raise
+            spark.sql(f"DROP TABLE {aside}")
         else:
             _writer(df, cfg, "error").format(kind).saveAsTable(name)
     else:
@@ -107,13 +131,14 @@ def write_jdbc(df: DataFrame, cfg: Mapping[str, Any]) -> None:
 
 def write_rest(df: DataFrame, cfg: Mapping[str, Any]) -> None:
     """POST the rows in batches from where they are. A batch that fails does not stop the
-    others; failures are counted and raised once at the end."""
+    others; failures are counted and raised once at the end. A task that runs again sends its batches
+    again: each carries the hash of its records as Idempotency-Key, by which a server can tell."""
     if not cfg.get("url"):
         raise ValueError("a rest_api output needs url")
     plain = {k: v for k, v in cfg.items() if k != "format"}
     size, key = int(cfg.get("batch_size", 100)), cfg.get("body_key", "records")
 
-    def send(rows: Iterator) -> Iterator[tuple[int, int]]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import requests
 
         client, sent, failed, batch = Client(plain), 0, 0, []
@@ -121,23 +146,25 @@ def write_rest(df: DataFrame, cfg: Mapping[str, Any]) -> None:
         def flush() -> None:
             nonlocal sent, failed, batch
             try:
-                client.send(plain["url"], client.params, {key: batch}, plain.get("method", "POST"), (429, 500, 503))
+                body = [json.loads(text) for text in batch]
+                name = hashlib.sha256("\n".join(batch).encode()).hexdigest()
+                client.send(plain["url"], client.params, {key: body}, plain.get("method", "POST"), (429, 500, 503), {"Idempotency-Key": name})
                 sent += 1
             except requests.RequestException:
                 failed += 1
             batch = []
 
-        for (text,) in rows:
-            batch.append(json.loads(text))
-            if len(batch) == size:
-                flush()
+        for rows in batches:
+            for text in rows.column(0).to_pylist():
+                batch.append(text)
+                if len(batch) == size:
+                    flush()
         if batch:
             flush()
-        yield sent, failed
+        yield pa.RecordBatch.from_pydict({"sent": pa.array([sent], pa.int64()), "failed": pa.array([failed], pa.int64())})
 
     payload = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record"))
-    counts = payload.rdd.mapPartitions(send)
-    failed = counts.map(lambda c: c[1]).sum()
+    failed = payload.mapInArrow(send, "sent long, failed long").agg(F.sum("failed")).first()[0]
     if failed:
         raise RuntimeError(f"{failed} batches were refused by {cfg['url']}")
 

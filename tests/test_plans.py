@@ -38,7 +38,7 @@ def raw(**k):
 
 @pytest.mark.parametrize("bad", [
     {"CONFIG": {"inputs": {}, "outputs": {"a": port()}}}, {"MODEL": "streaming", **raw()}, {"VERSION": "1", **raw()}, raw(inputs={"a": {"format": "jdbc", "url": "u"}}),
-    raw(outputs={"a": port(mode="replace")}), raw(monitors=[]), raw(inputs={"a": {"format": "s3"}}), raw(inputs={"a": {"format": "rest_api"}}), [], raw(inputs={"a": {"path": "p"}}),
+    raw(outputs={"a": port(mode="replace")}), raw(watchers=[]), raw(monitors=[{"params": {}}]), raw(inputs={"a": {"format": "s3"}}), raw(inputs={"a": {"format": "rest_api"}}), [], raw(inputs={"a": {"path": "p"}}),
 ])
 def test_invalid_files(bad):
     with pytest.raises(ConfigError):
