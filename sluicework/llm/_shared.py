@@ -109,6 +109,13 @@ def worker_table(key: str, build: Callable[[], object]) -> object:
     return _held[key]
 
 
+def drop_worker_tables() -> None:
+    """Let go of the table that an operator before left in this worker."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def row_map(df: DataFrame, columns: list[str], fn: Callable[..., list], out: T.StructType) -> DataFrame:
     """Append ``out``'s columns to ``df``: ``fn`` gets one Arrow array per name in ``columns``
     and returns one array per output field. All other columns pass through untouched; a column

@@ -22,14 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialize, plain_texts, release, row_map
+from ._shared import drop_worker_tables, materialize, plain_texts, release, row_map
 
 # Closed-class words in English, German, French and Spanish.
 TARGETS = frozenset("you your he she him her they them it this that who du dich dir ihr sie er tu toi te vous il elle lui ils tú ti usted él ella ellos".split())
 NEGATIONS = frozenset("not no never neither nor without nicht kein keine nie ohne ne pas jamais sans nunca jamás sin".split())
 REPORTS = frozenset("said says say told claimed called wrote quoted reported alleged sagte sagt behauptete nannte schrieb dit disait affirme écrit appelle dijo dice afirmó llamó escribió".split())
-#: Beginnings, so that inflected forms count.
-THREATS = tuple("kill hurt destroy beat shoot stab burn töte schlag schläg vernicht tuer tuera frapp détrui matar matará golpe destrui".split())
+# Stems of threats with their endings, by language.
+_THREAT_FORMS = (
+    ("kill destroy shoot stab burn hurt beat", ("", "s", "ed", "ing", "er")),
+    ("töt schlag schläg vernicht", ("en", "e", "et", "t", "st", "te", "est")),
+    ("tu frapp", ("er", "e", "es", "ez", "ent", "era", "erai", "é")),
+    ("détrui", ("re", "s", "t", "ra", "rai")),
+    ("mat golpe", ("ar", "o", "as", "a", "an", "ó", "ará", "aré")),
+    ("destru", ("ir", "yo", "ye", "yó", "irá", "iré")),
+)
+THREATS = frozenset(stem + ending for stems, endings in _THREAT_FORMS for stem in stems.split() for ending in endings)
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, NEGATED, REPORTED = range(8)
 CLASSES = 8
@@ -38,13 +46,17 @@ NEGATION_SCOPE = 3
 #: its clause, negated, reported.
 PLAIN, TARGETED, WHEN_NEGATED, WHEN_REPORTED = range(4)
 FACTORS = (1.0, 1.25, 0.3, 0.4)
-#: Of a threat by a fixed beginning; learned ones have their own weight.
+#: Of a threat of the fixed forms; learned ones have their own weight.
 THREAT_WEIGHT = 0.5
 REJECT_AT = 0.7
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO_WORDS = 150_000
+_MEMO_WORDS = 50_000
+
+
+#: Letters of the beginnings looked at; a longer one rarely says more than the whole word does.
+SHORTEST, LONGEST = 4, 12
 
 
 class Transducer:
@@ -110,18 +122,21 @@ class Grammar:
     def __init__(self, words: dict[str, float], beginnings: dict[str, float], threats: dict[str, float] | None = None, factors: tuple[float, ...] = FACTORS, slope: float = 1.0, shift: float = -2.0):
         self.words, self.beginnings, self.factors, self.slope, self.shift = words, beginnings, factors, slope, shift
         self.threats = {t: THREAT_WEIGHT for t in THREATS} | (threats or {})
-        self._insults, self._menaces = ({n: {b: w for b, w in table.items() if len(b) == n} for n in sorted({len(b) for b in table})} for table in (beginnings, self.threats))
+        self._exact = {*words, *self.threats}
+        #: How beginnings begin: most words are told by this alone to match none.
+        self._lengths, self._starts = sorted({len(b) for b in beginnings}), {b[:SHORTEST] for b in beginnings}
         self._memo: dict[str, tuple[int, float]] = {}
 
-    @staticmethod
-    def _begins(tables: dict[int, dict[str, float]], word: str) -> float:
-        return max((t.get(word[:n], 0.0) for n, t in tables.items()), default=0.0)
+    def _begins(self, word: str) -> float:
+        if word[:SHORTEST] not in self._starts:
+            return 0.0
+        return max(self.beginnings.get(word[:n], 0.0) for n in self._lengths)
 
     def classify(self, word: str) -> tuple[int, float]:
         """The class of a lower-cased word and, for insults and threats, its weight."""
         if (known := self._memo.get(word)) is not None:
             return known
-        if w := max(self.words.get(word, 0.0), self._begins(self._insults, word)):
+        if w := max(self.words.get(word, 0.0), self._begins(word)):
             known = INSULT, w
         elif word in TARGETS:
             known = TARGET, 0.0
@@ -129,7 +144,7 @@ class Grammar:
             known = NEGATION, 0.0
         elif word in REPORTS:
             known = REPORT, 0.0
-        elif w := self._begins(self._menaces, word):
+        elif w := self.threats.get(word):
             known = THREAT, w
         else:
             known = OTHER, 0.0
@@ -143,7 +158,8 @@ class Grammar:
         not parsed further."""
         low = text.lower()
         total = [0.0] * len(FACTORS)
-        if not any(self.classify(w)[1] for w in set(_WORD.findall(low))):
+        words = set(_WORD.findall(low))
+        if words.isdisjoint(self._exact) and not any(map(self._begins, words)):
             return total
         follow, outputs = GRAMMAR
         state = 0
@@ -166,11 +182,9 @@ class Grammar:
 
 
 _PATTERNS = pa.schema([("pattern", pa.string()), ("kind", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64())])
-#: Letters of the beginnings looked at; a longer one rarely says more than the whole word does.
-SHORTEST, LONGEST = 4, 12
 #: Kinds of patterns: a word, a word's beginning, a word behind a target in its clause.
 WHOLE, BEGINNING, BEHIND = range(3)
-_FLUSH = 300_000
+_FLUSH = 150_000
 
 
 def _behind_targets(low: str) -> set[str]:
@@ -188,6 +202,7 @@ def _behind_targets(low: str) -> set[str]:
 
 def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and clean texts hold each pattern."""
+    drop_worker_tables()
     counts: dict[tuple[str, int], list[int]] = {}
 
     def out() -> pa.RecordBatch:
@@ -300,6 +315,7 @@ def with_scores(docs: DataFrame, grammar: Grammar, text: str = "text", out: str
     spread = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(column: pa.Array) -> list[pa.Array]:
+        drop_worker_tables()
         return [pa.array([spread.value.score(t) for t in plain_texts(column)], pa.float64())]
 
     return row_map(docs, [text], run, T.StructType([T.StructField(out, T.DoubleType())]))
