@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import binary_texts, heavy_join, materialize, release, row_map
+from ._shared import binary_texts, drop_worker_tables, heavy_join, materialize, release, row_map
 from .components import connected_components
 from .decontaminate import WordHasher, shingle_hashes
 
@@ -524,6 +524,7 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_tables()
         hasher = WordHasher()
         for batch in batches:
             made = [text_keys(t, hasher, words_per_shingle) for t in binary_texts(batch.column(1))]
@@ -531,6 +532,7 @@ def similar_text_groups(docs: DataFrame, words_per_shingle: int = 5, similarity:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(1)], schema=_TEXT)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_tables()
         hasher = WordHasher()
         for batch in batches:
             sets = [text_shingles(t, hasher, words_per_shingle) for t in binary_texts(batch.column(1))]

@@ -61,7 +61,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         # Between the added tokens nothing is one, whatever lower-casing makes of it.
-        self._caller, self._tokenizer = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
+        self._path, self._tokenizer = tokenizer_path, Tokenizer.from_file(tokenizer_path)
         self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
         self._most = most_chunks
@@ -130,8 +130,11 @@ class ChunkEncoder:
             ids = made[at : at + n]
             out.append((ids[0] if n == 1 else b"".join(x for k in range(n) for x in (ids[k], self._plain[some[2 * k + 1]] if k < n - 1 else b""))) + end)
             at += n
-        for i, ids in zip(apart, self._whole([t.decode("utf-8", "replace") for t in whole], self._caller)):
-            out[i] = ids + end
+        if apart:
+            from tokenizers import Tokenizer
+
+            for i, ids in zip(apart, self._whole([t.decode("utf-8", "replace") for t in whole], Tokenizer.from_file(self._path))):
+                out[i] = ids + end
         return out
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
