@@ -63,24 +63,27 @@ def release(*tables: DataFrame) -> None:
             delete_path(df.sparkSession, path)
 
 
+#: What each open scope keeps, the innermost last.
+_scopes: list[set[str]] = []
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """What is written to scratch inside is deleted at the end, but for what ``keep`` names. Results
     are lazy, so they must have been written or collected by then."""
     before = set(_open_paths)
+    _scopes.append(set())
     try:
         yield
     finally:
-        for path in _open_paths - before - _kept_paths:
+        for path in _open_paths - before - _scopes.pop():
             delete_path(spark, path)
 
 
-_kept_paths: set[str] = set()
-
-
 def keep(df: DataFrame) -> DataFrame:
-    """Let a scratch table outlive the scopes that it was written in."""
-    _kept_paths.add(df._scratch_path)
+    """Let a scratch table outlive the scope that it was written in; the one around it has it then."""
+    if _scopes:
+        _scopes[-1].add(df._scratch_path)
     return df
 
 
@@ -88,7 +91,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     _open_paths.discard(path)
-    _kept_paths.discard(path)
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialize, row_map, text_groups, worker_table
+from ._shared import keep, materialize, release, row_map, scratch_scope, text_groups, worker_table
 from .shards import HELD_ROWS, ShardList, Shards, write_shards
 
 ORDER = 4
@@ -110,33 +110,34 @@ def train(texts: DataFrame) -> DataFrame:
     context, logp being that of a character never seen before the empty context's share.
     Null texts teach nothing; no text at all gives an empty model.
     """
-    top = materialize(texts.filter("text is not null").select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
-    levels = {ORDER: top}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = materialize(levels[k + 1].groupBy(_suffix(F.col("gram"), k + 1).alias("gram")).agg(F.count("*").alias("n")), "kn-counts")
-    lower, parts = None, []
-    for k in range(1, ORDER + 1):
-        counted = levels[k]
-        of_counts = {r["n"]: r["count"] for r in counted.filter("n <= 4").groupBy("n").count().collect()}
-        d1, d2, d3 = discounts(of_counts)
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = F.shiftrightunsigned("gram", BITS)
-        contexts = counted.groupBy(context.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(discount).alias("kept"))
-        contexts = materialize(contexts.select("ctx", "total", (F.col("kept") / F.col("total")).alias("gamma")), "kn-contexts")
-        own = counted.select("gram", "n", context.alias("ctx"), _suffix(F.col("gram"), k).alias("suffix")).join(contexts, "ctx")
-        if lower is None:
-            size = counted.count() + 1
-            below, own = F.lit(1.0 / size), own
-        else:
-            own = own.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("p_low")), "suffix")
-            below = F.col("p_low")
-        p = (F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total")) + F.col("gamma") * below
-        lower = materialize(own.select("gram", p.alias("p")), "kn-p")
-        parts.append(lower.select(F.lit(k).alias("level"), "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff")))
-        unseen = F.lit(-math.log(size)) if k == 1 else F.lit(None).cast("double")
-        parts.append(contexts.select(F.lit(k - 1).alias("level"), F.col("ctx").alias("gram"), unseen.cast("double").alias("logp"), F.log("gamma").alias("backoff")))
-    model = reduce(DataFrame.unionByName, parts)
-    return materialize(model.groupBy("level", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "kn-model")
+    with scratch_scope(texts.sparkSession):
+        top = materialize(texts.filter("text is not null").select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
+        levels = {ORDER: top}
+        for k in range(ORDER - 1, 0, -1):
+            levels[k] = materialize(levels[k + 1].groupBy(_suffix(F.col("gram"), k + 1).alias("gram")).agg(F.count("*").alias("n")), "kn-counts")
+        lower, parts = None, []
+        for k in range(1, ORDER + 1):
+            counted = levels[k]
+            of_counts = {r["n"]: r["count"] for r in counted.filter("n <= 4").groupBy("n").count().collect()}
+            d1, d2, d3 = discounts(of_counts)
+            discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+            context = F.shiftrightunsigned("gram", BITS)
+            contexts = counted.groupBy(context.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(discount).alias("kept"))
+            contexts = materialize(contexts.select("ctx", "total", (F.col("kept") / F.col("total")).alias("gamma")), "kn-contexts")
+            own = counted.select("gram", "n", context.alias("ctx"), _suffix(F.col("gram"), k).alias("suffix")).join(contexts, "ctx")
+            if lower is None:
+                size = counted.count() + 1
+                below, own = F.lit(1.0 / size), own
+            else:
+                own = own.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("p_low")), "suffix")
+                below = F.col("p_low")
+            p = (F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total")) + F.col("gamma") * below
+            lower = materialize(own.select("gram", p.alias("p")), "kn-p")
+            parts.append(lower.select(F.lit(k).alias("level"), "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff")))
+            unseen = F.lit(-math.log(size)) if k == 1 else F.lit(None).cast("double")
+            parts.append(contexts.select(F.lit(k - 1).alias("level"), F.col("ctx").alias("gram"), unseen.cast("double").alias("logp"), F.log("gamma").alias("backoff")))
+        model = reduce(DataFrame.unionByName, parts)
+        return keep(materialize(model.groupBy("level", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "kn-model"))
 
 
 def sharded(model: DataFrame, held_rows: int = HELD_ROWS) -> dict[int, ShardList]:
@@ -210,6 +211,7 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, least_
         "doc_id", "lang", "n_symbols", F.when((F.col("n_symbols") > 0) & (F.col("loglik") < 0), F.exp(-F.col("loglik") / F.col("n_symbols"))).alias("perplexity")
     )
     scored = materialize(scored, "kn-scored")
+    release(model)
     known = scored.filter("perplexity is not null").join(ids, "doc_id", "left_semi")
     by_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= least_trusted).select(F.col("lang").alias("_lang"), "q")
     overall = known.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]

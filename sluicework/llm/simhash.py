@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import binary_texts, drop_worker_tables, heavy_join, materialize, release, row_map
+from ._shared import binary_texts, drop_worker_tables, heavy_join, keep, materialize, release, row_map, scratch_scope
 from .components import connected_components
 from .decontaminate import WordHasher, shingle_hashes
 
@@ -238,24 +238,25 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     an empty result.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    hashed = materialize(with_fingerprints(texts, "text", words_per_shingle=words_per_shingle).select("doc_id", "fp"), "simhash-fp")
-    named, nameless = hashed.filter("doc_id is not null"), hashed.filter("doc_id is null")
-    total = named.count()
-    groups = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-groups")
-    links = fingerprint_links(groups.select("fp"))
-    reps = groups.select("fp", "rep")
-    met = (
-        links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a")
-        .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
-        .select("rep_a", "rep_b")
-    )
-    # A repeated doc_id with different texts is one node: its fingerprints belong together.
-    repeats = named.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("doc_id", "n")
-    repeats = materialize(repeats, "simhash-repeats")
-    mine = heavy_join(named, repeats, "doc_id", "n", total).distinct().join(reps, "fp").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
-    roots = connected_components(met.unionByName(mine), "rep_a", "rep_b")
-    placed = materialize(groups.join(roots, groups["rep"] == roots["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n"), "simhash-placed")
-    release(groups, repeats)
+    with scratch_scope(docs.sparkSession):
+        hashed = keep(materialize(with_fingerprints(texts, "text", words_per_shingle=words_per_shingle).select("doc_id", "fp"), "simhash-fp"))
+        named, nameless = hashed.filter("doc_id is not null"), hashed.filter("doc_id is null")
+        total = named.count()
+        groups = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-groups")
+        links = fingerprint_links(groups.select("fp"))
+        reps = groups.select("fp", "rep")
+        met = (
+            links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a")
+            .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
+            .select("rep_a", "rep_b")
+        )
+        # A repeated doc_id with different texts is one node: its fingerprints belong together.
+        repeats = named.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("doc_id", "n")
+        repeats = materialize(repeats, "simhash-repeats")
+        mine = heavy_join(named, repeats, "doc_id", "n", total).distinct().join(reps, "fp").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
+        roots = connected_components(met.unionByName(mine), "rep_a", "rep_b")
+        placed = groups.join(roots, groups["rep"] == roots["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
+        placed = keep(materialize(placed, "simhash-placed"))
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     # Empty texts, or copies of one text, may be a third of all rows.
     out = heavy_join(named, placed, "fp", "n", total).unionByName(nameless.select("doc_id", "fp", F.lit(None).cast(placed.schema["component_id"].dataType).alias("component_id")))
