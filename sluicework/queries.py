@@ -598,6 +598,17 @@ def embed_chunks(spark, d):
     return text.embed(text.chunks(t(spark, d, "documents"), "doc_id", "text"), "text").drop("text")
 
 
+@query("derive_round", "SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,4)), 1) AS DOUBLE) AS about, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.15 AS DECIMAL(4,2)) AS DOUBLE) AS tax FROM orders")
+def derive_round(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", F.round(dec("o_totalprice", 4), 1).cast("double").alias("about"), (dec("o_totalprice") * F.lit("0.15").cast("decimal(4,2)")).cast("double").alias("tax"))
+
+
+@query("map_of_columns", "SELECT c_custkey, c_mktsegment AS segment, 2 AS entries, NULL AS absent FROM customer")
+def map_of_columns(spark, d):
+    made = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("name"), F.col("c_name"))
+    return t(spark, d, "customer").select("c_custkey", made.alias("m")).select("c_custkey", F.try_element_at("m", F.lit("segment")).alias("segment"), F.size("m").alias("entries"), F.try_element_at("m", F.lit("none")).alias("absent"))
+
+
 @query("recent_window", "SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-24 00:00:00' AND ts <= TIMESTAMP '2024-01-31 00:00:00'")
 def recent_window(spark, d):
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
@@ -809,6 +820,17 @@ def sink_merge_upsert(spark, d):
     return spark.read.schema(CUSTOMER).parquet(path)
 
 
+@query("sink_delta_merge", """
+    SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation
+    UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation WHERE n_regionkey = 2""")
+def sink_delta_merge(spark, d):
+    cfg, n = {"path": shared_folder(spark, "sink-delta")}, t(spark, d, "nation")
+    writers.write_delta(n, cfg)
+    fresh = n.filter("n_regionkey = 2").withColumn("n_nationkey", (F.col("n_nationkey") + 100).cast(n.schema["n_nationkey"].dataType))
+    writers.write_delta(n.filter("n_regionkey = 1").withColumn("n_name", F.upper("n_name")).unionByName(fresh), {**cfg, "mode": "merge", "merge_keys": ["n_nationkey"]})
+    return readers.read_delta(spark, cfg)
+
+
 # --- models and streams ------------------------------------------------------------------
 
 def _examples(spark, d):
@@ -847,6 +869,17 @@ def stream_tumbling_count(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
+@query("stream_append_sink", "SELECT event_id, event_type FROM events")
+def stream_append_sink(spark, d):
+    """What has arrived is appended and the run ends; a second run finds nothing new."""
+    src, out, state = (shared_folder(spark, f"stream-{x}") for x in ("src", "sink", "offsets"))
+    t(spark, d, "events").select("event_id", "event_type").repartition(3).write.parquet(src)
+    for _ in range(2):
+        rows = windows.read_stream(spark, src, "event_id bigint, event_type string", files_per_trigger=1)
+        windows.write_available(rows, out, state).awaitTermination()
+    return spark.read.schema("event_id bigint, event_type string").parquet(out)
+
+
 @query("session_windows", """
     WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     numbered AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)

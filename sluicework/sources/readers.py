@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from typing import Any
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .rest import read_rest
 
 
+log = logging.getLogger("sluicework")
+
+
 def table_name(cfg: Mapping[str, Any]) -> str:
     """``table``, or any of catalog, schema (or db_name) and tbl_name, joined by dots."""
     if cfg.get("table"):
@@ -66,9 +70,20 @@ def read_binary(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     return spark.read.format("binaryFile").options(**(cfg.get("options") or {})).load(cfg["path"])
 
 
+def delta_format(spark: SparkSession) -> str:
+    """delta where its package is on Spark's class path; else parquet, which takes all of a delta port's modes
+    but has no versions, and a warning."""
+    try:
+        spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass("io.delta.sql.DeltaSparkSessionExtension")
+        return "delta"
+    except Exception:
+        log.warning("the delta package is not on the class path: delta ports are kept as parquet")
+        return "parquet"
+
+
 def read_delta(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     if cfg.get("path"):
-        return read_path(spark, {**cfg, "file_format": "delta"})
+        return read_path(spark, {**cfg, "file_format": delta_format(spark)})
     return spark.table(table_name(cfg))
 
 

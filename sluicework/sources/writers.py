@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import upsert
-from .readers import table_name
+from .readers import delta_format, table_name
 from .rest import Client
 
 MODES = ("overwrite", "append", "ignore", "error", "errorifexists", "merge")
@@ -170,9 +170,11 @@ def write_rest(df: DataFrame, cfg: Mapping[str, Any]) -> None:
 
 
 def write_delta(df: DataFrame, cfg: Mapping[str, Any]) -> None:
+    """As delta where its package is there, else as parquet; ``merge`` needs merge_keys either way."""
+    kind = delta_format(df.sparkSession)
     if cfg.get("path"):
-        return write_path(df, {**cfg, "file_format": "delta"})
-    write_table(df, {**cfg, "file_format": "delta"})
+        return write_path(df, {**cfg, "file_format": kind})
+    write_table(df, {**cfg, "file_format": kind})
 
 
 WRITERS = {
