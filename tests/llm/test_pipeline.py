@@ -45,3 +45,13 @@ def test_odd_tables(spark):
             assert all(r[c] == "x" for r in docs.collect() for c in more)
         assert docs.count() == (3 if data else 0)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == (3 if data else 0)
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    from sluicework.llm import _shared
+
+    before = set(_shared._open_paths)
+    made = corpus_pipeline.run(spark, SMALL)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in _shared._open_paths - before}
+    assert left == {"pipeline-decontamination", "packing-pieces"}
+    assert made.count() > 0
