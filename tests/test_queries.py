@@ -2,13 +2,17 @@
 
 import datetime
 import decimal
+import math
 import os
+import re
 
 import duckdb
 import pytest
+import xxhash
 from conftest import SMALL
 
 from sluicework import queries as engine
+from sluicework.functions import text
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -48,6 +52,42 @@ def test_runs(spark, name):
     assert engine.QUERIES[name](spark, SMALL).count() > 0
 
 
+def brute_vectors(doc_id, said, size=512, step=448, width=32):
+    """The vectors of a text's chunks, word by word."""
+    words = [w for w in re.split("[ \t\n\x0b\f\r]+", said or "") if w]
+    out = {}
+    for chunk, start in enumerate(range(0, len(words), step)):
+        v = [0] * width
+        for w in " ".join(words[start : start + size]).lower().split():
+            h = xxhash.xxh64_intdigest(w)
+            v[h % width] += 1 if h >= 2**63 else -1
+        length = math.sqrt(sum(x * x for x in v)) or 1.0
+        out[doc_id, chunk] = [x / length for x in v]
+    return out
+
+
+def same_vectors(found, said):
+    want = {}
+    for doc_id, words in said:
+        want |= brute_vectors(doc_id, words)
+    got = [((r["doc_id"], r["chunk_index"]), r["embedding"]) for r in found.collect()]
+    assert len(got) == len(want) and dict(got).keys() == want.keys()
+    assert all(v == pytest.approx(want[k], abs=1e-12) for k, v in got)
+
+
+def test_chunk_vectors_of_the_whole_table(spark):
+    said = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    same_vectors(engine.QUERIES["embed_chunks"](spark, SMALL), said)
+
+
+def test_chunk_vectors_of_odd_texts(spark):
+    """Nothing, white space, one word, the last word of a step and the first of the next, no id."""
+    long = [f"W{i}" for i in range(1_400)]
+    said = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, " ".join(long[:448])), (6, " ".join(long[:449])), (7, "\n".join(long)), (None, "no id")]
+    df = spark.createDataFrame(said, "doc_id long, text string")
+    same_vectors(text.embed(text.chunks(df, "doc_id", "text"), "text"), said)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
