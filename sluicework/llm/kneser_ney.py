@@ -4,8 +4,10 @@ The model is trained on trusted texts: n-grams of ORDER characters are counted o
 them, lower orders take continuation counts (how many different characters precede), and each
 order's probabilities come from joins of count tables sharded by context and by suffix. The
 model stays in shards, one sorted table an order; the n-grams of each block of documents are
-joined with the shards that hold them, the same way at every size. A document's perplexity is
-compared with a quantile of the trusted documents of its language.
+joined with the shards that hold them, the same way at every size. Each half of the documents is
+scored by the model of the trusted ones in the other half, so that no text is met by a model that has
+seen it, and a document's perplexity is compared with a quantile of all trusted documents of its
+language.
 
 An n-gram is one long: 16 bits a character, so contexts and suffixes are shifts and masks. A
 character beyond the basic plane is two units, as in UTF-16; a text begins with ORDER - 1 marks.
@@ -24,15 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import keep, materialize, release, row_map, scratch_scope, text_groups, worker_table
+from ._shared import keep, materialize, row_map, scratch_scope, text_groups, worker_table
 from .shards import HELD_ROWS, ShardList, Shards, write_shards
 
 ORDER = 4
 BITS = 16
 START = 0x0002
 _COMPACT = 4_000_000
-#: One in this many trusted documents is kept out of the model and sets the thresholds.
-CALIBRATION = 5
+HALVES = 2
+#: How many documents of its own a language needs to count for as much as all languages together.
+LEAN = 50
 
 
 def _codes(text: str) -> np.ndarray:
@@ -59,22 +62,28 @@ def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, held = [], [], 0
+    """Over (text, half): rows (half, gram, n), a few for each n-gram of a half."""
+    open_: dict[int, tuple[list, list]] = {}
     for batch in batches:
-        for group in text_groups(batch.column(0)):
-            k, n = np.unique(gram_keys(group)[0], return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            held += len(k)
-            if held > _COMPACT:
-                k, n = _merge(keys, counts)
-                if len(k) > _COMPACT // 2:
-                    yield _counted(k, n)
-                    keys, counts, held = [], [], 0
-                else:
-                    keys, counts, held = [k], [n], len(k)
-    if keys:
-        yield _counted(*_merge(keys, counts))
+        halves = batch.column(1).to_numpy(zero_copy_only=False)
+        for half in np.unique(halves).tolist():
+            keys, counts = open_.setdefault(half, ([], []))
+            for group in text_groups(batch.column(0).filter(pa.array(halves == half))):
+                k, n = np.unique(gram_keys(group)[0], return_counts=True)
+                keys.append(k)
+                counts.append(n)
+                if sum(map(len, keys)) > _COMPACT:
+                    k, n = _merge(keys, counts)
+                    keys.clear()
+                    counts.clear()
+                    if len(k) > _COMPACT // 2:
+                        yield _counted(half, k, n)
+                    else:
+                        keys.append(k)
+                        counts.append(n)
+    for half, (keys, counts) in open_.items():
+        if keys:
+            yield _counted(half, *_merge(keys, counts))
 
 
 def _merge(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +91,8 @@ def _merge(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return k, np.bincount(where, np.concatenate(counts), len(k)).astype(np.int64)
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
+def _counted(half: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), half)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["half", "gram", "n"])
 
 
 def discounts(of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -101,18 +110,29 @@ def _suffix(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1).cast("long"))
 
 
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """How often each highest-order n-gram occurs in each half of ``texts`` (text, half): (half, gram,
+    n). Null texts count nothing."""
+    counted = texts.filter("text is not null").select("text", F.col("half").cast("long").alias("half"))
+    return counted.mapInArrow(_count, "half long, gram long, n long").groupBy("half", "gram").agg(F.sum("n").alias("n"))
+
+
 def train(texts: DataFrame) -> DataFrame:
-    """The model of ``texts`` (text) as one table (level, gram, logp, backoff).
+    """The model of all ``texts`` (text); see ``model_of``."""
+    return model_of(gram_counts(texts.select("text", F.lit(0).alias("half"))).select("gram", "n"))
+
+
+def model_of(counts: DataFrame) -> DataFrame:
+    """The model of n-gram ``counts`` (gram, n) as one table (level, gram, logp, backoff).
 
     For an n-gram of level k characters, logp is its log probability if it was seen as one
     (null for one that is only a context) and backoff the log of the mass that its contexts
     leave to the lower order (null if it is no context). Level 0 has one row: the empty
     context, logp being that of a character never seen before the empty context's share.
-    Null texts teach nothing; no text at all gives an empty model.
+    No n-gram at all gives an empty model.
     """
-    with scratch_scope(texts.sparkSession):
-        top = materialize(texts.filter("text is not null").select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
-        levels = {ORDER: top}
+    with scratch_scope(counts.sparkSession):
+        levels = {ORDER: materialize(counts, "kn-counts")}
         for k in range(ORDER - 1, 0, -1):
             levels[k] = materialize(levels[k + 1].groupBy(_suffix(F.col("gram"), k + 1).alias("gram")).agg(F.count("*").alias("n")), "kn-counts")
         lower, parts = None, []
@@ -193,28 +213,46 @@ def with_log_likelihood(docs: DataFrame, model: DataFrame, text: str = "text", h
     return row_map(docs, [text], run, T.StructType([T.StructField("loglik", T.DoubleType()), T.StructField("n_symbols", T.LongType())]))
 
 
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, least_trusted: int = 50, held_rows: int = HELD_ROWS) -> DataFrame:
+def _half(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(HALVES))
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
+    """(doc_id, lang, n_symbols, perplexity) of every row of ``docs``: a half of the documents, by the hash
+    of the id, is scored by the model of the ``trusted`` ones in the other half. A null or empty
+    text has no perplexity; nor has any in a half whose other half holds no trusted text."""
+    rows, scored = docs.select("doc_id", "text", "lang"), []
+    perplexity = F.when((F.col("n_symbols") > 0) & (F.col("loglik") < 0), F.exp(-F.col("loglik") / F.col("n_symbols")))
+    with scratch_scope(docs.sparkSession):
+        counts = materialize(gram_counts(trusted.select("text", _half().alias("half"))), "kn-halves")
+        for half in range(HALVES):
+            with scratch_scope(docs.sparkSession):
+                model = model_of(counts.filter(F.col("half") == 1 - half).select("gram", "n"))
+                mine = with_log_likelihood(rows.filter(_half() == half), model, held_rows=held_rows)
+                scored.append(keep(materialize(mine.select("doc_id", "lang", "n_symbols", perplexity.alias("perplexity")), "kn-scored")))
+        for part in scored:
+            keep(part)
+    return reduce(DataFrame.unionByName, scored)
+
+
+def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, lean: int = LEAN, held_rows: int = HELD_ROWS) -> DataFrame:
     """Perplexity and decision for every row of ``docs`` (doc_id, text, lang).
 
-    ``trusted`` (doc_id, text) trains the model, but for the one in CALIBRATION of them, by
-    the hash of the id, that sets the thresholds. A row is kept if its perplexity is at most the
-    ``quantile`` of those documents of its language; languages with fewer than
-    ``least_trusted`` of them, and null languages, take the quantile over all. Returns
-    (doc_id, lang, n_symbols, perplexity, threshold, keep); a null or empty text has no
-    perplexity and is not kept; without trusted texts nothing is. Repeated rows are each judged;
-    other columns are ignored; an empty table gives an empty result.
+    ``trusted`` (doc_id, text) are rows of ``docs`` or like them; they train the models and, each scored by
+    the model that has not seen it, set the thresholds. A row is kept if its perplexity is at most
+    the ``quantile`` of all trusted documents of its language. That leans on the quantile over all
+    languages as if ``lean`` documents stood at it, so a language of few documents goes by it mostly,
+    and a null language entirely. Returns (doc_id, lang, n_symbols, perplexity, threshold, keep); a
+    null or empty text has no perplexity and is not kept; without trusted texts nothing is, and
+    where all of them are in one half that half is not. Repeated rows are each judged; other columns
+    are ignored; an empty table gives an empty result.
     """
-    aside = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0
-    model = train(trusted.filter(~aside))
-    ids = trusted.filter(aside).select("doc_id").distinct()
-    scored = with_log_likelihood(docs.select("doc_id", "text", "lang"), model, held_rows=held_rows).select(
-        "doc_id", "lang", "n_symbols", F.when((F.col("n_symbols") > 0) & (F.col("loglik") < 0), F.exp(-F.col("loglik") / F.col("n_symbols"))).alias("perplexity")
-    )
-    scored = materialize(scored, "kn-scored")
-    release(model)
-    known = scored.filter("perplexity is not null").join(ids, "doc_id", "left_semi")
-    by_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= least_trusted).select(F.col("lang").alias("_lang"), "q")
-    overall = known.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    threshold = F.coalesce("q", F.lit(overall).cast("double"))
-    out = scored.join(by_lang, F.col("lang") == F.col("_lang"), "left").withColumn("threshold", threshold)
+    scored = perplexities(docs, trusted, held_rows)
+    # The list of trusted ids grows with the corpus, so the join is by sorted shuffle at any size.
+    known = scored.filter("perplexity is not null").join(trusted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    mark = F.percentile_approx("perplexity", quantile, 10_000)
+    overall = F.lit(known.agg(mark).first()[0]).cast("double")
+    by_lang = known.filter("lang is not null").groupBy("lang").agg(mark.alias("q"), F.count("*").alias("n"))
+    by_lang = by_lang.select(F.col("lang").alias("_lang"), ((F.col("q") * F.col("n") + overall * lean) / (F.col("n") + lean)).alias("q"))
+    out = scored.join(by_lang, F.col("lang") == F.col("_lang"), "left").withColumn("threshold", F.coalesce("q", overall))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))
