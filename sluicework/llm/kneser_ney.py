@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import keep, materialize, row_map, scratch_scope, text_groups, worker_table
+from ._shared import heavy_join, keep, materialize, row_map, scratch_scope, text_groups, worker_table
 from .shards import HELD_ROWS, ShardList, Shards, write_shards
 
 ORDER = 4
@@ -253,6 +253,10 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, lean: i
     mark = F.percentile_approx("perplexity", quantile, 10_000)
     overall = F.lit(known.agg(mark).first()[0]).cast("double")
     by_lang = known.filter("lang is not null").groupBy("lang").agg(mark.alias("q"), F.count("*").alias("n"))
-    by_lang = by_lang.select(F.col("lang").alias("_lang"), ((F.col("q") * F.col("n") + overall * lean) / (F.col("n") + lean)).alias("q"))
-    out = scored.join(by_lang, F.col("lang") == F.col("_lang"), "left").withColumn("threshold", F.coalesce("q", overall))
+    lent = (F.col("q") * F.col("n") + overall * lean) / (F.col("n") + lean)
+    sizes = scored.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("rows"))
+    marks = materialize(sizes.join(by_lang, "lang", "left").select("lang", F.coalesce(lent, overall).alias("threshold"), "rows"), "kn-marks")
+    # One language may have most of the rows, and so may none.
+    out = heavy_join(scored.filter("lang is not null"), marks, "lang", "rows", scored.count())
+    out = out.unionByName(scored.filter("lang is null").withColumn("threshold", overall))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 from test_operators import DOCS, brute_close, brute_lines, docs, words
 
-from sluicework.llm import _shared, line_dedup, packing, simhash
+from sluicework.llm import _shared, kneser_ney, line_dedup, packing, simhash
 from sluicework.llm.components import connected_components
 from sluicework.llm.queries import tokenizer_path
 
@@ -49,3 +49,15 @@ def test_operators_with_one_heavy_text(spark, monkeypatch):
     alike = spark.createDataFrame([(None, "a b", "en")] * 3000 + [(1, "c", "en")], DOCS)
     placed = packing.pack_documents(alike, tokenizer_path(), 2)
     assert placed.count() == placed.select("sequence_id", "offset").distinct().count() == 3001
+
+
+def test_quality_of_one_heavy_language(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = [(i, words(rng, 12), "en" if i % 10 < 7 else None if i % 10 < 9 else "de") for i in range(200)] + [(300, "no trusted text has its language", "xx"), (None, "", "en")]
+    table = spark.createDataFrame(rows, DOCS)
+    decided = lambda: sorted(map(tuple, kneser_ney.quality(table, table.filter("doc_id < 150")).collect()), key=repr)
+    want = decided()
+    monkeypatch.setattr(_shared, "HEAVY_ROWS", 50)
+    assert decided() == want and len(want) == len(rows)
+    marks = {lang: {r[4] for r in want if r[1] == lang} for lang in ("en", "de", "xx", None)}
+    assert all(len(m) == 1 for m in marks.values()) and marks["xx"] == marks[None]
