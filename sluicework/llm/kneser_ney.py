@@ -243,9 +243,9 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, lean: i
     the ``quantile`` of all trusted documents of its language. That leans on the quantile over all
     languages as if ``lean`` documents stood at it, so a language of few documents goes by it mostly,
     and a null language entirely. Returns (doc_id, lang, n_symbols, perplexity, threshold, keep); a
-    null or empty text has no perplexity and is not kept; without trusted texts nothing is, and
-    where all of them are in one half that half is not. Repeated rows are each judged; other columns
-    are ignored; an empty table gives an empty result.
+    null or empty text has no perplexity and is not kept; without trusted texts, or where
+    all of them are in one half, nothing is. Repeated rows are each judged; other columns are ignored;
+    an empty table gives an empty result.
     """
     scored = perplexities(docs, trusted, held_rows)
     # The list of trusted ids grows with the corpus, so the join is by sorted shuffle at any size.

@@ -113,8 +113,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity and decision of every document. A null or empty text has no perplexity and is not kept; a
-    null language takes the threshold over all; repeated rows each give a row; without trusted texts
-    nothing is kept; an empty table gives an empty result."""
+    null language takes the threshold over all; repeated rows each give a row; without trusted texts in
+    both halves of the documents nothing is kept; an empty table gives an empty result."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
     good = _table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & ~held_out).select("doc_id")

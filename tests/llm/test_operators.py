@@ -613,3 +613,5 @@ def test_quality_decisions(spark):
     assert sum(out[i]["keep"] for i in range(280, 300)) >= 18 and not out[len(good) + len(ODD)]["keep"]
     assert out[300]["perplexity"] is None and not out[300]["keep"]
     assert kneser_ney.quality(table, table.limit(0)).filter("keep").count() == 0
+    one_half = kneser_ney.quality(table, table.filter("doc_id < 280 and pmod(xxhash64(doc_id), 2) = 1")).collect()
+    assert len(one_half) == len(out) and not any(r["keep"] for r in one_half) and any(r["perplexity"] for r in one_half)
