@@ -15,7 +15,7 @@ from .operators import cleaning, joins, models, statistics, transforms
 from .plans import hooks, lineage, runner, spec
 from .plans.spec import Step
 from .session import shared_folder
-from .sources import readers, rest, writers
+from .sources import embedded, readers, rest, writers
 from .sources.registry import default_registry
 from .streaming import windows
 
@@ -706,11 +706,9 @@ def src_sql(spark, d):
 
 
 def _derby(spark, d) -> dict:
-    """Customers in an embedded database; it lives in this JVM, so this is for local sessions."""
-    url = f"jdbc:derby:memory:db{os.urandom(6).hex()};create=true"
-    df = t(spark, d, "customer").withColumns({"c_name": F.col("c_name"), "c_mktsegment": F.col("c_mktsegment")})
-    cfg = {"url": url, "table": "customer", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    writers.write_jdbc(df, {**cfg, "mode": "overwrite", "options": {"createTableColumnTypes": "c_name varchar(100), c_mktsegment varchar(30)", "batchsize": "1000"}})
+    """Customers in an embedded database of the driver."""
+    cfg = {"url": embedded.new_database(), "table": "customer", "driver": embedded.DRIVER}
+    writers.write_jdbc(t(spark, d, "customer"), {**cfg, "mode": "overwrite", "options": {"createTableColumnTypes": "c_name varchar(100), c_mktsegment varchar(30)", "batchsize": "1000"}})
     return cfg
 
 
@@ -727,7 +725,7 @@ def src_jdbc_table(spark, d):
 def sink_jdbc_roundtrip(spark, d):
     cfg = _derby(spark, d)
     writers.write_jdbc(t(spark, d, "customer").filter("c_acctbal < 0").withColumn("c_custkey", -F.col("c_custkey")), {**cfg, "mode": "append"})
-    return _lower(readers.read_jdbc(spark, cfg))
+    return _lower(readers.read_jdbc(spark, embedded.published(spark, cfg)))
 
 
 @query("src_jdbc_query", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")

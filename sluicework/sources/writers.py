@@ -9,10 +9,11 @@ from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import upsert
+from . import embedded
 from .readers import delta_format, table_name
 from .rest import Client
 
@@ -126,7 +127,24 @@ def write_jdbc(df: DataFrame, cfg: Mapping[str, Any]) -> None:
     for key in ("driver", "user", "password"):
         if cfg.get(key) is not None:
             options[key] = cfg[key]
-    df.write.format("jdbc").mode(mode_of(cfg, "append")).options(**(options | (cfg.get("options") or {}))).save()
+    mode, options = mode_of(cfg, "append"), options | (cfg.get("options") or {})
+    if not embedded.is_embedded(cfg["url"]):
+        df.write.format("jdbc").mode(mode).options(**options).save()
+        return
+    # No row goes this way, but the driver makes or empties the table as for any other database.
+    there = mode == "ignore" and _jdbc_table_exists(df.sparkSession, options)
+    df.limit(0).write.format("jdbc").mode(mode).options(**options).save()
+    if not there:
+        embedded.import_rows(df, cfg)
+
+
+def _jdbc_table_exists(spark: SparkSession, options: Mapping[str, Any]) -> bool:
+    try:
+        return bool(spark.read.format("jdbc").options(**options).load().schema)
+    except Exception as e:
+        if "does not exist" in str(e):
+            return False
+        raise
 
 
 def write_rest(df: DataFrame, cfg: Mapping[str, Any]) -> None:

@@ -9,7 +9,7 @@ import re
 import duckdb
 import pytest
 import xxhash
-from conftest import SMALL
+from conftest import ROOT, SMALL
 
 from sluicework import queries as engine
 from sluicework.functions import text
@@ -105,3 +105,50 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_as_of_is_one_shuffle(spark):
     plan = engine.QUERIES["asof_join_latest"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_embedded_database_keeps_every_value_and_mode(spark):
+    """Rows go in through Derby's import, so what its text form could lose is tried; modes are Spark's."""
+    from sluicework.sources import embedded, readers, writers
+
+    rows = [(1, "a", 1.5), (2, "", None), (3, None, -2e-30), (4, 'say "x", twice ""', 0.1), (5, "two\nlines, \r\n three ", 1e300), (6, "  spaced ", 3.0), (7, "ß漢😀\\n'", 4.0), (None, None, None)]
+    df = spark.createDataFrame(rows, "id long, name string, x double")
+    cfg = {"url": embedded.new_database(), "table": "odd", "driver": embedded.DRIVER}
+    size = {"options": {"createTableColumnTypes": "name varchar(100)"}}
+    writers.write_jdbc(df, {**cfg, **size, "mode": "error"})
+    writers.write_jdbc(df.limit(3), {**cfg, "mode": "ignore"})
+    with pytest.raises(Exception, match="already exists"):
+        writers.write_jdbc(df, {**cfg, "mode": "error"})
+    writers.write_jdbc(df.filter("false"), cfg)
+    writers.write_jdbc(df.select("x", "name", "id").filter("id = 1"), cfg)
+    writers.write_jdbc(df, {**cfg, **size, "table": "again", "mode": "ignore"})
+    writers.write_jdbc(df.filter("id < 3"), {**cfg, **size, "table": "again", "mode": "overwrite"})
+    cfg = embedded.published(spark, cfg)
+    order = lambda found: sorted(map(tuple, found), key=repr)
+    assert order(readers.read_jdbc(spark, cfg).collect()) == order([*rows, rows[0]])
+    assert order(readers.read_jdbc(spark, {**cfg, "table": "again"}).collect()) == order(rows[:2])
+
+
+def test_jdbc_queries_on_executors_of_their_own():
+    """An embedded database lives in one process; here driver and executors are three."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys, tempfile
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+shared = tempfile.mkdtemp()
+spark = (SparkSession.builder.master("local-cluster[2,1,1000]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
+    .config("spark.checkpoint.dir", f"file://{{shared}}/shared").config("spark.sql.warehouse.dir", f"{{shared}}/warehouse").getOrCreate())
+from sluicework import queries as engine
+for name in ("sink_jdbc_roundtrip",):
+    print("rows", name, engine.QUERIES[name](spark, {SMALL!r}).count())
+spark.stop()
+"""
+    env = {**os.environ, "PYTHONPATH": ROOT}
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=env)
+    found = dict(line.split()[1:] for line in made.stdout.splitlines() if line.startswith("rows "))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{SMALL}/customer.parquet'")
+    assert found == {name: str(len(con.execute(engine.SQL[name]).fetchall())) for name in ("sink_jdbc_roundtrip",)}, made.stderr[-2000:]
