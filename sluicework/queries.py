@@ -736,7 +736,7 @@ def src_jdbc_query(spark, d):
 
 @query("src_jdbc_partitioned", "SELECT * FROM customer")
 def src_jdbc_partitioned(spark, d):
-    return _lower(readers.read_jdbc(spark, {**_derby(spark, d), "partitionColumn": '"c_custkey"', "lowerBound": 1, "upperBound": 1000, "numPartitions": 4}))
+    return _lower(readers.read_jdbc(spark, {**embedded.published(spark, _derby(spark, d)), "partitionColumn": '"c_custkey"', "lowerBound": 1, "upperBound": 1000, "numPartitions": 4}))
 
 
 def _files(spark, d) -> str:
