@@ -730,7 +730,7 @@ def sink_jdbc_roundtrip(spark, d):
 
 @query("src_jdbc_query", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
 def src_jdbc_query(spark, d):
-    cfg = _derby(spark, d)
+    cfg = embedded.published(spark, _derby(spark, d))
     return _lower(readers.read_jdbc(spark, {**cfg, "table": None, "sql": 'SELECT "c_custkey", "c_name" FROM customer WHERE "c_acctbal" > 0'}))
 
 
