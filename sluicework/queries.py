@@ -718,7 +718,7 @@ def _lower(df: DataFrame) -> DataFrame:
 
 @query("src_jdbc_table", "SELECT * FROM customer")
 def src_jdbc_table(spark, d):
-    return _lower(readers.read_jdbc(spark, _derby(spark, d)))
+    return _lower(readers.read_jdbc(spark, embedded.published(spark, _derby(spark, d))))
 
 
 @query("sink_jdbc_roundtrip", "SELECT * FROM customer UNION ALL SELECT -c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 0")

@@ -142,7 +142,7 @@ shared = tempfile.mkdtemp()
 spark = (SparkSession.builder.master("local-cluster[2,1,1000]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
     .config("spark.checkpoint.dir", f"file://{{shared}}/shared").config("spark.sql.warehouse.dir", f"{{shared}}/warehouse").getOrCreate())
 from sluicework import queries as engine
-for name in ("sink_jdbc_roundtrip", "src_jdbc_query", "src_jdbc_partitioned"):
+for name in ("src_jdbc_table", "sink_jdbc_roundtrip", "src_jdbc_query", "src_jdbc_partitioned"):
     print("rows", name, engine.QUERIES[name](spark, {SMALL!r}).count())
 spark.stop()
 """
@@ -151,4 +151,4 @@ spark.stop()
     found = dict(line.split()[1:] for line in made.stdout.splitlines() if line.startswith("rows "))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{SMALL}/customer.parquet'")
-    assert found == {name: str(len(con.execute(engine.SQL[name]).fetchall())) for name in ("sink_jdbc_roundtrip", "src_jdbc_query", "src_jdbc_partitioned")}, made.stderr[-2000:]
+    assert found == {name: str(len(con.execute(engine.SQL[name]).fetchall())) for name in ("src_jdbc_table", "sink_jdbc_roundtrip", "src_jdbc_query", "src_jdbc_partitioned")}, made.stderr[-2000:]
