@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,6 +98,20 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library than glibc
+    _trim = None
+
+
+def hand_back() -> None:
+    """Give the system what this worker has freed. Workers wait between tasks, beside others and the
+    executor's own memory, with all that Arrow and the C library kept for later."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 _held: dict[str, object] = {}
 
 
@@ -106,7 +121,7 @@ def worker_table(key: str, build: Callable[[], object]) -> object:
     stages of a pipeline."""
     if key not in _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        hand_back()
         _held[key] = build()
     return _held[key]
 
@@ -115,7 +130,7 @@ def drop_worker_tables() -> None:
     """Let go of the table that an operator before left in this worker."""
     if _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        hand_back()
 
 
 def row_map(df: DataFrame, columns: list[str], fn: Callable[..., list], out: T.StructType) -> DataFrame:
@@ -132,7 +147,7 @@ def row_map(df: DataFrame, columns: list[str], fn: Callable[..., list], out: T.S
             made = fn(*(batch.column(i) for i in read))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], names=names)
             del batch, made
-            pa.default_memory_pool().release_unused()
+            hand_back()
 
     return df.mapInArrow(run, T.StructType([df.schema.fields[i] for i in kept] + out.fields))
 

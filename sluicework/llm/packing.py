@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._shared import binary_texts, free_name, materialize
+from ._shared import binary_texts, drop_worker_tables, free_name, hand_back, materialize
 from .token_ids import ID_BYTES, encoded_groups
 
 WINDOW = 4096
@@ -47,6 +47,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int =
             kinds = [pa.int64()] * 5 + [pa.binary()]
             columns = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            del batch, rows, columns
+            hand_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, _PIECES)
 
@@ -178,6 +180,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int
     table = {b: tuple(np.array(c, np.int64) for c in zip(*rows)) for b, rows in steps.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_tables()
         for batch in batches:
             bin_of = batch.column(batch.schema.get_field_index(bin_)).to_numpy()
             ranks = batch.column(batch.schema.get_field_index(rank)).to_numpy()

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._shared import worker_table
+from ._shared import hand_back, worker_table
 
 ID_BYTES = 4
 #: ASCII punctuation that forms a pre-token of its own behind a word.
@@ -178,5 +178,7 @@ def encoded_groups(texts, end_id: int, tokenizer_path: str, group_bytes: int = 4
         if size >= group_bytes:
             yield from enc.encode(group, end_id)
             group, size = [], 0
+            hand_back()
     if group:
         yield from enc.encode(group, end_id)
+        hand_back()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import drop_worker_tables, materialize, plain_texts, release, row_map
+from ._shared import drop_worker_tables, hand_back, materialize, plain_texts, release, row_map
 
 # Closed-class words in English, German, French and Spanish.
 TARGETS = frozenset("you your he she him her they them it this that who du dich dir ihr sie er tu toi te vous il elle lui ils tú ti usted él ella ellos".split())
@@ -219,8 +219,11 @@ def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if len(counts) > _FLUSH:
                 yield out()
                 counts.clear()
+                hand_back()
     if counts:
         yield out()
+        counts.clear()
+    hand_back()
 
 
 def train(labelled: DataFrame, max_rows: int = 30_000, min_gain: float = 22.0, min_weight: float = 2.5) -> Grammar:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips and edge cases."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -615,3 +616,30 @@ def test_quality_decisions(spark):
     assert kneser_ney.quality(table, table.limit(0)).filter("keep").count() == 0
     one_half = kneser_ney.quality(table, table.filter("doc_id < 280 and pmod(xxhash64(doc_id), 2) = 1")).collect()
     assert len(one_half) == len(out) and not any(r["keep"] for r in one_half) and any(r["perplexity"] for r in one_half)
+
+
+def test_token_workers_hand_back_what_they_freed():
+    """An idle worker counts with all it holds; after a group of texts nothing large is left to be handed back."""
+    import subprocess
+    import sys
+
+    code = """
+import random
+from sluicework.llm import _shared, token_ids
+from sluicework.llm.queries import tokenizer_path
+
+def held():
+    with open("/proc/self/status") as f:
+        return next(int(line.split()[1]) for line in f if line.startswith("VmRSS")) / 1024
+
+draw = random.Random(7)
+texts = (" ".join("".join(draw.choices("abcdefghijklmnop", k=5)) for _ in range(300)).encode() for _ in range(4000))
+tokens = sum(len(ids) for ids in token_ids.encoded_groups(texts, 2, tokenizer_path())) // token_ids.ID_BYTES
+before = held()
+_shared.pa.default_memory_pool().release_unused()
+__import__("ctypes").CDLL(None).malloc_trim(0)
+print(tokens, before - held())
+"""
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))})
+    tokens, left = made.stdout.split()
+    assert int(tokens) > 1_000_000 and float(left) < 20, made.stdout + made.stderr
